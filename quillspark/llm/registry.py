@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import exact_dedup
+from . import exact_dedup, quality, secrets
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+    "op5_quality_rules": quality.op5_quality_rules,
+    "op9_secret_scans": secrets.op9_secret_scans,
 }
 
 ORACLE = {
     "op1_exact_dedup": exact_dedup.OP1_SQL,
+    "op9_secret_scans": secrets.OP9_SQL,
 }

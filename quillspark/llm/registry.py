@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, quality, secrets
+from . import exact_dedup, quality, secrets, toxicity
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+    "op2_toxicity": toxicity.op2_toxicity,
     "op5_quality_rules": quality.op5_quality_rules,
     "op9_secret_scans": secrets.op9_secret_scans,
 }

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, quality, secrets, toxicity
+from . import best_fit, exact_dedup, quality, secrets, sentencepiece_codec, toxicity
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op2_toxicity": toxicity.op2_toxicity,
     "op5_quality_rules": quality.op5_quality_rules,
+    "op6_sentencepiece": sentencepiece_codec.op6_sentencepiece,
+    "op8_best_fit_packing": best_fit.op8_best_fit_packing,
     "op9_secret_scans": secrets.op9_secret_scans,
 }
 

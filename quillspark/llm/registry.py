@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import best_fit, exact_dedup, quality, secrets, sentencepiece_codec, token_output, toxicity, warc
+from . import best_fit, exact_dedup, pii, quality, secrets, sentencepiece_codec, token_output, toxicity, warc
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op2_toxicity": toxicity.op2_toxicity,
     "op3_token_output": token_output.op3_token_output,
+    "op4_pii": pii.op4_pii,
     "op5_quality_rules": quality.op5_quality_rules,
     "op6_sentencepiece": sentencepiece_codec.op6_sentencepiece,
     "op8_best_fit_packing": best_fit.op8_best_fit_packing,

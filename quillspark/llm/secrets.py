@@ -146,8 +146,8 @@ def _holds(query, found: Column) -> Column:
 def postings(docs: DataFrame, trigrams: list[str], key: str, text: str) -> DataFrame:
     """(trigram, id) for each document that has the trigram in its lower-cased text."""
     low = F.lower(text_or_empty(text))
-    return docs.select(F.col(key).alias("_id"), low.alias("low")).select(
-        F.explode(F.filter(F.array(*(F.when(F.contains("low", F.lit(t)), F.lit(t)) for t in trigrams)), lambda t: t.isNotNull())).alias("trigram"), "_id"
+    return docs.select(F.col(key).alias("__qs_id"), low.alias("low")).select(
+        F.explode(F.filter(F.array(*(F.when(F.contains("low", F.lit(t)), F.lit(t)) for t in trigrams)), lambda t: t.isNotNull())).alias("trigram"), "__qs_id"
     )
 
 
@@ -180,24 +180,24 @@ def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, key: str = "d
     wanted = sorted(set().union(*(_trigrams(q) for q in queries)))
     body, none = text_or_empty(text), F.array().cast("array<struct<start:int,ord:int,end:int>>")
     if wanted:
-        lists = materialise(postings(docs, wanted, key, text), "postings").groupBy("_id").agg(F.collect_set("trigram").alias("_has"))
+        lists = materialise(postings(docs, wanted, key, text), "postings").groupBy("__qs_id").agg(F.collect_set("trigram").alias("__qs_has"))
         able = [(i, q) for i, q in enumerate(queries) if q is not ALWAYS]
-        candidates = lists.select("_id", *(_holds(q, F.col("_has")).alias(f"_try{i}") for i, q in able))
+        candidates = lists.select("__qs_id", *(_holds(q, F.col("__qs_has")).alias(f"__qs_try{i}") for i, q in able))
         any_rule = F.lit(False)
         for i, _ in able:
-            any_rule = any_rule | F.col(f"_try{i}")
+            any_rule = any_rule | F.col(f"__qs_try{i}")
         candidates = materialise(candidates.filter(any_rule), "candidates")
-        rows = docs.join(candidates, docs[key].eqNullSafe(candidates["_id"]), "left").drop("_id")
+        rows = docs.join(candidates, docs[key].eqNullSafe(candidates["__qs_id"]), "left").drop("__qs_id")
     else:
         able, rows = [], docs
     tried = {i for i, _ in able}
     lists = []
     for i, rule in enumerate(rules):
         quick = body.rlike(rule.counted or rule.pattern)
-        run = F.col(f"_try{i}") & quick if i in tried else quick
+        run = F.col(f"__qs_try{i}") & quick if i in tried else quick
         lists.append(F.when(run, _spans(rule, i, body)).otherwise(none))
     out = rows.withColumn("found", F.array_sort(F.concat(*lists)))
-    return out.drop(*(f"_try{i}" for i in tried))
+    return out.drop(*(f"__qs_try{i}" for i in tried))
 
 
 def mask_secrets(docs: DataFrame, found: str = "found", text: str = "text") -> Column:

@@ -174,8 +174,8 @@ def _spans(rule: Rule, order: int, text: Column) -> Column:
     return F.aggregate(parts, zero, step, lambda acc: acc["out"])
 
 
-def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` with ``found``: an array of (start, ord, end) in text order, ``ord`` the rule's place."""
+def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, key: str = "doc_id", text: str = "text", out: str = "found") -> DataFrame:
+    """The rows of ``docs`` with a column ``out``: an array of (start, ord, end) in text order, ``ord`` the rule's place."""
     queries = [trigram_query(r.pattern) for r in rules]
     wanted = sorted(set().union(*(_trigrams(q) for q in queries)))
     body, none = text_or_empty(text), F.array().cast("array<struct<start:int,ord:int,end:int>>")
@@ -196,8 +196,7 @@ def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, key: str = "d
         quick = body.rlike(rule.counted or rule.pattern)
         run = F.col(f"__qs_try{i}") & quick if i in tried else quick
         lists.append(F.when(run, _spans(rule, i, body)).otherwise(none))
-    out = rows.withColumn("found", F.array_sort(F.concat(*lists)))
-    return out.drop(*(f"__qs_try{i}" for i in tried))
+    return rows.withColumn(out, F.array_sort(F.concat(*lists))).drop(*(f"__qs_try{i}" for i in tried))
 
 
 def mask_secrets(docs: DataFrame, found: str = "found", text: str = "text") -> Column:

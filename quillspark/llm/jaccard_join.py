@@ -36,7 +36,8 @@ from pyspark.sql import functions as F
 from .common import materialise, table
 from .components import connected_components
 
-BITS = 1024
+#: Bitmaps have twice to four times as many bits as the sets of their size class have members, and at least these.
+LEAST_BITS = 1024
 #: A member that over one document in ``COMMON`` has is taken last in the order.
 COMMON = 512
 SMALL_TILE = 64
@@ -75,9 +76,20 @@ def shingle_set(text: str | None, words: int) -> np.ndarray:
     return np.unique(out)
 
 
-def bitmap(members: np.ndarray) -> np.ndarray:
-    bits = np.zeros(BITS, np.uint8)
-    bits[(members >> np.uint64(17)) % np.uint64(BITS)] = 1
+def size_class(n: int) -> int:
+    """Sets of one class have bitmaps of ``2 ** class`` bits."""
+    return max(LEAST_BITS.bit_length() - 1, int(n).bit_length() + 1)
+
+
+def reaches_up(n: int, threshold: Fraction) -> bool:
+    """Whether a set of size n can link to one of the next size class."""
+    c = size_class(n)
+    return size_class(int(n / threshold)) > c
+
+
+def bitmap(members: np.ndarray, cls: int) -> np.ndarray:
+    bits = np.zeros(1 << cls, np.uint8)
+    bits[(members >> np.uint64(17)) % np.uint64(1 << cls)] = 1
     return np.packbits(bits).view(np.uint64)
 
 
@@ -126,7 +138,7 @@ def _common_members(docs: DataFrame, words: int) -> np.ndarray:
 
 
 def _describe(docs: DataFrame, words: int, threshold: Fraction, common: np.ndarray) -> DataFrame:
-    """(id, n, print, prefix, bits) for each row."""
+    """(id, n, print, prefix, bits) for each row; ``bits`` are bitmaps by size class: the set's own, and the next where it can link to that."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -139,14 +151,15 @@ def _describe(docs: DataFrame, words: int, threshold: Fraction, common: np.ndarr
                     prints.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                     late = np.isin(s, common, assume_unique=True) if len(common) else np.zeros(len(s), bool)
                     prefixes.append(np.concatenate([s[~late], s[late]])[: prefix_size(len(s), threshold)].view(np.int64))
-                    bits.append(bitmap(s).tobytes())
+                    c = size_class(len(s))
+                    bits.append([{"cls": k, "map": bitmap(s, k).tobytes()} for k in ([c, c + 1] if reaches_up(len(s), threshold) else [c])])
                 offsets = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(prefixes), pa.int64())), pa.array(bits, pa.binary())],
+                    [part.column(0), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(prefixes), pa.int64())), pa.array(bits, pa.list_(pa.struct([("cls", pa.int32()), ("map", pa.binary())])))],
                     ["id", "n", "print", "prefix", "bits"],
                 )
 
-    return docs.select("_id", "_text").mapInArrow(run, "id long, n long, print binary, prefix array<long>, bits binary")
+    return docs.select("_id", "_text").mapInArrow(run, "id long, n long, print binary, prefix array<long>, bits array<struct<cls:int,map:binary>>")
 
 
 def _find(parent: list[int], x: int) -> int:
@@ -177,16 +190,12 @@ def _passes(bits: np.ndarray, n: np.ndarray, i, j, threshold: Fraction) -> np.nd
 
 
 def _tile_candidates(threshold: Fraction):
-    """Candidate pairs of tiles: rows sorted by (token, band, i, j, n). Large tiles give a spanning forest of their candidates."""
+    """Candidate pairs of tiles: rows sorted by (cls, token, band, i, j, n). Large tiles give a spanning forest of their candidates."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
-        rows = pa.Table.from_batches(held).combine_chunks()
+    def tile_pairs(rows: pa.Table) -> list[np.ndarray]:
         col = lambda c: rows.column(c).to_numpy()
         rep, n = col("id"), col("n")
-        bits = np.frombuffer(b"".join(rows.column("bits").to_pylist()), np.uint64).reshape(len(rep), -1)
+        bits = np.frombuffer(b"".join(rows.column("map").to_pylist()), np.uint64).reshape(len(rep), -1)
         bounds = _groups([col(c) for c in ("token", "band", "i", "j")])
         sizes = np.diff(bounds)
         out = []
@@ -196,14 +205,14 @@ def _tile_candidates(threshold: Fraction):
             i = np.flatnonzero((group[d:] == group[:-d]) & few[d:])
             if not len(i):
                 break
-            for s in range(0, len(i), 50_000):
-                x = i[s : s + 50_000]
+            step = max(1, (1 << 22) // bits.shape[1])
+            for s in range(0, len(i), step):
+                x = i[s : s + step]
                 x = x[n[x] * threshold.denominator >= n[x + d] * threshold.numerator]
                 x = x[_passes(bits, n, x, x + d, threshold)]
                 out.append(np.stack([rep[x], rep[x + d]], axis=1))
         for g in np.flatnonzero(sizes > SMALL_TILE):
             lo, hi = bounds[g], bounds[g + 1]
-            parent = list(range(hi - lo))
             label = np.arange(hi - lo)
             pairs = []
             for x in range(lo, hi - 1):
@@ -217,9 +226,17 @@ def _tile_candidates(threshold: Fraction):
                     if a != b:
                         label[label == max(a, b)] = min(a, b)
                         pairs.append((rep[x], rep[y]))
-            del parent
             if pairs:
                 out.append(np.array(pairs, np.int64))
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        rows = pa.Table.from_batches(held).combine_chunks()
+        bounds = _groups([rows.column("cls").to_numpy()])
+        out = [p for lo, hi in zip(bounds, bounds[1:]) for p in tile_pairs(rows.slice(lo, hi - lo).combine_chunks())]
         found = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
         found = np.unique(np.sort(found[found[:, 0] != found[:, 1]], axis=1), axis=0)
         for s in range(0, len(found), 50_000):
@@ -233,7 +250,8 @@ def _decide(threshold: Fraction):
 
     def block(rep, n, sets):
         k = len(rep)
-        bits = np.stack([bitmap(s) for s in sets])
+        width = size_class(int(np.median(n)))  # any width gives a right bound
+        bits = np.stack([bitmap(s, width) for s in sets])
         label = np.arange(k)
         order = np.argsort(n, kind="stable")
         links = []
@@ -298,14 +316,18 @@ def similar_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     )
 
     posts = classes.select(F.explode("prefix").alias("token"), "id", "n")
-    live = materialise(posts.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"), "tokens")
+    # members of a prefix that the same classes share make the same tile: one of them is enough
+    who = [F.bit_xor(F.xxhash64("id")).alias("who"), F.bit_xor(F.xxhash64(F.lit(7), "id")).alias("who2")]
+    shared = posts.groupBy("token").agg(F.count(F.lit(1)).alias("df"), *who).filter("df > 1")
+    live = materialise(shared.groupBy("df", "who", "who2").agg(F.min("token").alias("token")).select("token", "df"), "tokens")
     posts = materialise(posts.join(live, "token"), "posts")
     band = F.floor(F.log(F.col("n").cast("double")) / log(1 / float(t)) + 1e-9).cast("int")
     bands = F.when(F.col("df") > SMALL_TILE, F.array(band, band + 1)).otherwise(F.array(F.lit(0)))
     tiled = _block_pairs(posts.withColumn("band", F.explode(bands)), "df", BLOCK)
-    tiled = tiled.join(classes.select("id", "bits"), "id").select("token", "band", "i", "j", "id", "n", "bits")
+    maps = classes.select("id", F.explode("bits").alias("b")).select("id", "b.cls", "b.map")
+    tiled = tiled.join(maps, "id").select("cls", "token", "band", "i", "j", "id", "n", "map")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    tiled = tiled.repartition(parts, "token", "band", "i", "j").sortWithinPartitions("token", "band", "i", "j", "n")
+    tiled = tiled.repartition(parts, "cls", "token", "band", "i", "j").sortWithinPartitions("cls", "token", "band", "i", "j", "n")
     candidates = connected_components(tiled.mapInArrow(_tile_candidates(t), "a long, b long"))
 
     sizes = candidates.groupBy("comp").agg(F.count(F.lit(1)).alias("size"))

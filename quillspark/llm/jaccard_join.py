@@ -5,7 +5,7 @@ class and go on as one. Two sets whose similarity reaches the threshold share on
 ``n - ceil(threshold * n) + 1`` members of either, in any order that is the same for all sets; here the
 order is by hash, with members that very many documents have last, so that common passages make no tiles.
 
-The classes that share such a member form a tile. A tile of many classes is cut by bands of set size (a
+The classes that share such a member form a tile; tiles with the same least class are one. A tile of many classes is cut by bands of set size (a
 pair that can link lies in one band or in two adjacent ones) and then into blocks, and each pair of
 blocks is a task's work, so no tile is gathered in one place. In a tile a hashed bitmap of each set
 bounds the overlap from above: a bit that one set has and the other lacks stands for a member that is not
@@ -36,12 +36,12 @@ from pyspark.sql import functions as F
 from .common import materialise, table
 from .components import connected_components
 
-#: Bitmaps have twice to four times as many bits as the sets of their size class have members, and at least these.
-LEAST_BITS = 1024
+#: Bitmaps have one to two times as many bits as the sets of their size class have members, and at least these.
+LEAST_BITS = 256
 #: A member that over one document in ``COMMON`` has is taken last in the order.
 COMMON = 512
 SMALL_TILE = 64
-BLOCK = 512
+BLOCK = 256
 #: Ids of classes without an id start here; such an id is null in the result.
 NO_ID = 1 << 62
 
@@ -78,7 +78,7 @@ def shingle_set(text: str | None, words: int) -> np.ndarray:
 
 def size_class(n: int) -> int:
     """Sets of one class have bitmaps of ``2 ** class`` bits."""
-    return max(LEAST_BITS.bit_length() - 1, int(n).bit_length() + 1)
+    return max(LEAST_BITS.bit_length() - 1, int(n).bit_length())
 
 
 def reaches_up(n: int, threshold: Fraction) -> bool:
@@ -190,13 +190,13 @@ def _passes(bits: np.ndarray, n: np.ndarray, i, j, threshold: Fraction) -> np.nd
 
 
 def _tile_candidates(threshold: Fraction):
-    """Candidate pairs of tiles: rows sorted by (cls, token, band, i, j, n). Large tiles give a spanning forest of their candidates."""
+    """Candidate pairs of tiles: rows sorted by (cls, tile, band, i, j, n). Large tiles give a spanning forest of their candidates."""
 
     def tile_pairs(rows: pa.Table) -> list[np.ndarray]:
         col = lambda c: rows.column(c).to_numpy()
         rep, n = col("id"), col("n")
         bits = np.frombuffer(b"".join(rows.column("map").to_pylist()), np.uint64).reshape(len(rep), -1)
-        bounds = _groups([col(c) for c in ("token", "band", "i", "j")])
+        bounds = _groups([col(c) for c in ("tile", "band", "i", "j")])
         sizes = np.diff(bounds)
         out = []
         group = np.repeat(np.arange(len(sizes)), sizes)
@@ -316,18 +316,18 @@ def similar_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     )
 
     posts = classes.select(F.explode("prefix").alias("token"), "id", "n")
-    # members of a prefix that the same classes share make the same tile: one of them is enough
-    who = [F.bit_xor(F.xxhash64("id")).alias("who"), F.bit_xor(F.xxhash64(F.lit(7), "id")).alias("who2")]
-    shared = posts.groupBy("token").agg(F.count(F.lit(1)).alias("df"), *who).filter("df > 1")
-    live = materialise(shared.groupBy("df", "who", "who2").agg(F.min("token").alias("token")).select("token", "df"), "tokens")
-    posts = materialise(posts.join(live, "token"), "posts")
+    # a tile is named by its least class, so the tiles that one family of texts makes fall together and each class goes into them once
+    live = materialise(posts.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.min("id").alias("tile")).filter("df > 1").select("token", "tile"), "tokens")
+    placed = materialise(posts.join(live, "token").select("tile", "id", "n").distinct(), "posts")
+    sizes = materialise(placed.groupBy("tile").agg(F.count(F.lit(1)).alias("size")), "sizes")
+    placed = placed.join(sizes, "tile")
     band = F.floor(F.log(F.col("n").cast("double")) / log(1 / float(t)) + 1e-9).cast("int")
-    bands = F.when(F.col("df") > SMALL_TILE, F.array(band, band + 1)).otherwise(F.array(F.lit(0)))
-    tiled = _block_pairs(posts.withColumn("band", F.explode(bands)), "df", BLOCK)
+    bands = F.when(F.col("size") > SMALL_TILE, F.array(band, band + 1)).otherwise(F.array(F.lit(0)))
+    tiled = _block_pairs(placed.withColumn("band", F.explode(bands)), "size", BLOCK)
     maps = classes.select("id", F.explode("bits").alias("b")).select("id", "b.cls", "b.map")
-    tiled = tiled.join(maps, "id").select("cls", "token", "band", "i", "j", "id", "n", "map")
+    tiled = tiled.join(maps, "id").select("cls", "tile", "band", "i", "j", "id", "n", "map")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    tiled = tiled.repartition(parts, "cls", "token", "band", "i", "j").sortWithinPartitions("cls", "token", "band", "i", "j", "n")
+    tiled = tiled.repartition(parts, "cls", "tile", "band", "i", "j").sortWithinPartitions("cls", "tile", "band", "i", "j", "n")
     candidates = connected_components(tiled.mapInArrow(_tile_candidates(t), "a long, b long"))
 
     sizes = candidates.groupBy("comp").agg(F.count(F.lit(1)).alias("size"))

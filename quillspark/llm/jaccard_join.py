@@ -319,11 +319,11 @@ def similar_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     # a tile is named by its least class, so the tiles that one family of texts makes fall together and each class goes into them once
     live = materialise(posts.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.min("id").alias("tile")).filter("df > 1").select("token", "tile"), "tokens")
     placed = materialise(posts.join(live, "token").select("tile", "id", "n").distinct(), "posts")
-    sizes = materialise(placed.groupBy("tile").agg(F.count(F.lit(1)).alias("size")), "sizes")
-    placed = placed.join(sizes, "tile")
     band = F.floor(F.log(F.col("n").cast("double")) / log(1 / float(t)) + 1e-9).cast("int")
-    bands = F.when(F.col("size") > SMALL_TILE, F.array(band, band + 1)).otherwise(F.array(F.lit(0)))
-    tiled = _block_pairs(placed.withColumn("band", F.explode(bands)), "size", BLOCK)
+    banded = placed.select("tile", "id", "n", F.explode(F.array(F.struct(band.alias("band"), F.lit(1).alias("own")), F.struct((band + 1).alias("band"), F.lit(0).alias("own")))).alias("b")).select("tile", "id", "n", "b.*")
+    # a band's tile needs a class of its own band and another beside it
+    sizes = banded.groupBy("tile", "band").agg(F.count(F.lit(1)).alias("size"), F.sum("own").alias("owns")).filter("size > 1 and owns > 0").drop("owns")
+    tiled = _block_pairs(banded.join(materialise(sizes, "sizes"), ["tile", "band"]), "size", BLOCK)
     maps = classes.select("id", F.explode("bits").alias("b")).select("id", "b.cls", "b.map")
     tiled = tiled.join(maps, "id").select("cls", "tile", "band", "i", "j", "id", "n", "map")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -5,8 +5,8 @@ class and go on as one. Two sets whose similarity reaches the threshold share on
 ``n - ceil(threshold * n) + 1`` members of either, in any order that is the same for all sets; here the
 order is by hash, with members that very many documents have last, so that common passages make no tiles.
 
-The classes that share such a member form a tile; tiles with the same least class are one. A tile of many classes is cut by bands of set size (a
-pair that can link lies in one band or in two adjacent ones) and then into blocks, and each pair of
+The classes that share such a member form a tile; tiles with the same least class are one. A tile of many classes is cut by bands of set size, each twice the one below (a
+set that can link to one of the next band is in both), and then into blocks, and each pair of
 blocks is a task's work, so no tile is gathered in one place. In a tile a hashed bitmap of each set
 bounds the overlap from above: a bit that one set has and the other lacks stands for a member that is not
 shared. Pairs that the bound lets pass join their classes to candidate components; within these the
@@ -25,7 +25,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from fractions import Fraction
-from math import ceil, log
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +39,7 @@ from .components import connected_components
 #: Bitmaps have one to two times as many bits as the sets of their size class have members, and at least these.
 LEAST_BITS = 256
 #: A member that over one document in ``COMMON`` has is taken last in the order.
-COMMON = 512
+COMMON = 2048
 SMALL_TILE = 64
 BLOCK = 256
 #: Ids of classes without an id start here; such an id is null in the result.
@@ -125,7 +125,7 @@ def _common_members(docs: DataFrame, words: int) -> np.ndarray:
                 held.append(s)
                 docs_held += 1
                 size += len(s)
-                if size >= 2_000_000:
+                if size >= 5_000_000:
                     yield report()
                     held, docs_held, size = [], 0, 0
         if held:
@@ -190,13 +190,13 @@ def _passes(bits: np.ndarray, n: np.ndarray, i, j, threshold: Fraction) -> np.nd
 
 
 def _tile_candidates(threshold: Fraction):
-    """Candidate pairs of tiles: rows sorted by (cls, tile, band, i, j, n). Large tiles give a spanning forest of their candidates."""
+    """Candidate pairs of tiles: rows sorted by (band, tile, i, j, n). Large tiles give a spanning forest of their candidates."""
 
     def tile_pairs(rows: pa.Table) -> list[np.ndarray]:
         col = lambda c: rows.column(c).to_numpy()
         rep, n = col("id"), col("n")
         bits = np.frombuffer(b"".join(rows.column("map").to_pylist()), np.uint64).reshape(len(rep), -1)
-        bounds = _groups([col(c) for c in ("tile", "band", "i", "j")])
+        bounds = _groups([col(c) for c in ("tile", "i", "j")])
         sizes = np.diff(bounds)
         out = []
         group = np.repeat(np.arange(len(sizes)), sizes)
@@ -235,7 +235,7 @@ def _tile_candidates(threshold: Fraction):
         if not held:
             return
         rows = pa.Table.from_batches(held).combine_chunks()
-        bounds = _groups([rows.column("cls").to_numpy()])
+        bounds = _groups([rows.column("band").to_numpy()])
         out = [p for lo, hi in zip(bounds, bounds[1:]) for p in tile_pairs(rows.slice(lo, hi - lo).combine_chunks())]
         found = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
         found = np.unique(np.sort(found[found[:, 0] != found[:, 1]], axis=1), axis=0)
@@ -319,15 +319,16 @@ def similar_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     # a tile is named by its least class, so the tiles that one family of texts makes fall together and each class goes into them once
     live = materialise(posts.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.min("id").alias("tile")).filter("df > 1").select("token", "tile"), "tokens")
     placed = materialise(posts.join(live, "token").select("tile", "id", "n").distinct(), "posts")
-    band = F.floor(F.log(F.col("n").cast("double")) / log(1 / float(t)) + 1e-9).cast("int")
-    banded = placed.select("tile", "id", "n", F.explode(F.array(F.struct(band.alias("band"), F.lit(1).alias("own")), F.struct((band + 1).alias("band"), F.lit(0).alias("own")))).alias("b")).select("tile", "id", "n", "b.*")
-    # a band's tile needs a class of its own band and another beside it
-    sizes = banded.groupBy("tile", "band").agg(F.count(F.lit(1)).alias("size"), F.sum("own").alias("owns")).filter("size > 1 and owns > 0").drop("owns")
+    # the size classes of the bitmaps are the bands: a set is in its own, and in the next where it can link to that
+    cls_of = lambda n: F.greatest(F.lit(size_class(0)), F.length(F.bin(n)))
+    own, up = cls_of(F.col("n")), cls_of(F.expr(f"n * {t.denominator} div {t.numerator}"))
+    banded = placed.withColumn("band", F.explode(F.when(up > own, F.array(own, own + 1)).otherwise(F.array(own))))
+    sizes = banded.groupBy("tile", "band").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     tiled = _block_pairs(banded.join(materialise(sizes, "sizes"), ["tile", "band"]), "size", BLOCK)
-    maps = classes.select("id", F.explode("bits").alias("b")).select("id", "b.cls", "b.map")
-    tiled = tiled.join(maps, "id").select("cls", "tile", "band", "i", "j", "id", "n", "map")
+    maps = classes.select("id", F.explode("bits").alias("b")).select("id", F.col("b.cls").alias("band"), "b.map")
+    tiled = tiled.join(maps, ["id", "band"]).select("band", "tile", "i", "j", "id", "n", "map")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    tiled = tiled.repartition(parts, "cls", "tile", "band", "i", "j").sortWithinPartitions("cls", "tile", "band", "i", "j", "n")
+    tiled = tiled.repartition(parts, "band", "tile", "i", "j").sortWithinPartitions("band", "tile", "i", "j", "n")
     candidates = connected_components(tiled.mapInArrow(_tile_candidates(t), "a long, b long"))
 
     sizes = candidates.groupBy("comp").agg(F.count(F.lit(1)).alias("size"))

@@ -48,7 +48,7 @@ NO_ID = 1 << 62
 
 class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 500_000:
+        if len(self) >= 200_000:
             self.clear()
         h = self[word] = xxhash.xxh64_intdigest(word) | 1
         return h
@@ -125,7 +125,7 @@ def _common_members(docs: DataFrame, words: int) -> np.ndarray:
                 held.append(s)
                 docs_held += 1
                 size += len(s)
-                if size >= 5_000_000:
+                if size >= 3_000_000:
                     yield report()
                     held, docs_held, size = [], 0, 0
         if held:

@@ -63,7 +63,7 @@ class _Codes(dict):
     """Word -> the codes of its features; kept for words met, and emptied when it holds many."""
 
     def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= 300_000:
+        if len(self) >= 100_000:
             self.clear()
         codes = self[word] = b"".join(map(code, features(word)))
         return codes

@@ -1,0 +1,384 @@
+"""Each operator against brute force, a round trip or planted cases, and on odd and empty tables."""
+
+import collections
+import hashlib
+import random
+import re
+import zlib
+from fractions import Fraction
+
+import duckdb
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from quillspark.llm import best_fit, exact_dedup, jaccard_join, pii, quality, registry, secrets, sentencepiece_codec, token_output, tokens, toxicity, warc
+from quillspark.llm.components import connected_components
+
+
+def _texts(spark, sf_dir):
+    return [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
+
+
+@pytest.mark.parametrize("name", sorted(registry.ORACLE))
+def test_sql_gives_the_same_rows(spark, sf_dir, name):
+    ours = registry.QUERIES[name](spark, sf_dir).toPandas()
+    con = duckdb.connect()
+    for t in ("documents", "pages"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
+    theirs = con.sql(registry.ORACLE[name]).df()
+    cols = sorted(ours.columns)
+    assert cols == sorted(theirs.columns)
+    rows = lambda df: sorted(map(repr, df[cols].astype(object).where(df[cols].notna(), None).values.tolist()))
+    assert rows(ours) == rows(theirs)
+
+
+# --- exact dedup -----------------------------------------------------------------------------------------
+
+
+def test_dedup_odd(odd, none):
+    rows = exact_dedup.exact_dedup(odd).collect()
+    assert len(rows) == 10 and exact_dedup.exact_dedup(none).count() == 0
+    groups = collections.defaultdict(list)
+    for r in rows:
+        groups[r.text_sha256].append(r)
+    assert all(sum(r.kept for r in g) == 1 and {r.group_size for r in g} == {len(g)} for g in groups.values())
+    assert {r.keep_id for r in groups[hashlib.sha256(b"").hexdigest()]} == {8}  # the most code points before white space went
+    same = next(g for g in groups.values() if {r.doc_id for r in g} == {1, 2, None})
+    assert {r.keep_id for r in same} == {2}
+
+
+def test_dedup_with_clashing_fingerprints(odd):
+    weak = exact_dedup.exact_dedup(odd, block_bytes=16, fingerprint=lambda b: (F.octet_length(b).cast("long"), F.lit(0).cast("long")))
+    strong = exact_dedup.exact_dedup(odd)
+    assert sorted(map(str, weak.collect())) == sorted(map(str, strong.collect()))
+
+
+# --- toxicity --------------------------------------------------------------------------------------------
+
+
+def test_toxicity_learns_words_it_is_shown(spark):
+    rng = random.Random(1)
+    word = lambda: "".join(rng.choice("abcdefg") for _ in range(5))
+    clean = lambda: " ".join(word() for _ in range(80))
+    bad = lambda: " ".join(rng.choice(["horrid", "nasty", "vile"]) if rng.random() < 0.06 else word() for _ in range(80))
+    score = toxicity.train([bad() for _ in range(60)], [clean() for _ in range(60)]).scorer().score
+    hits, misses = [score(bad() + " vile") for _ in range(40)], [score(clean()) for _ in range(40)]
+    assert sum(s >= toxicity.CUT for s in hits) >= 36 and sum(s >= toxicity.CUT for s in misses) <= 4
+    assert score("") < toxicity.CUT and score(None) == score("")
+
+
+def test_toxicity_odd(spark, odd, none):
+    labels = spark.createDataFrame([(1, 0), (7, 1)], "doc_id long, toxic int")
+    model = toxicity.fit(odd, labels)
+    assert toxicity.score_texts(odd, model).count() == 10 and toxicity.score_texts(none, model).count() == 0
+    assert toxicity.filter_toxic(odd, model).columns == odd.columns
+    assert toxicity.fit(odd, labels.limit(0)).scorer().score("x") == 0.0
+
+
+def test_toxicity_leaves_held_out_rows_alone(spark, sf_dir):
+    rows = registry.QUERIES["op2_toxicity"](spark, sf_dir).collect()
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) and 0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in rows)
+
+
+# --- token output and packing ----------------------------------------------------------------------------
+
+
+def test_ids_are_those_of_the_tokenizers_library(spark, sf_dir):
+    from tokenizers import Tokenizer
+
+    path = tokens.default_path()
+    theirs, ours = Tokenizer.from_file(path), tokens.load(path)
+    for _, t in _texts(spark, sf_dir)[:60] + [(0, x) for x in ("", "a<|endoftext|>b", "  \n x" * 50, "é🙂\x00")]:
+        assert ours.encode(t).tolist() == theirs.encode(t, add_special_tokens=False).ids
+
+
+def test_room_tree_finds_the_least_room():
+    rng = random.Random(3)
+    lengths = [rng.randint(1, 50) for _ in range(400)]
+    rows = token_output.best_fit_decreasing(lengths, 50)
+    assert sorted(p for r in rows for p in r) == list(range(400)) and all(sum(lengths[p] for p in r) <= 50 for r in rows)
+    room: list[int] = []  # plain best fit decreasing needs as many rows
+    for n in sorted(lengths, reverse=True):
+        fits = [r for r in room if r >= n]
+        if fits:
+            room.remove(min(fits))
+            room.append(min(fits) - n)
+        else:
+            room.append(50 - n)
+    assert len(rows) == len(room)
+
+
+def _check_segments(rows, texts, capacity=2048):
+    bpe = tokens.load(tokens.default_path())
+    by_doc, by_sequence = collections.defaultdict(list), collections.defaultdict(list)
+    for r in rows:
+        by_doc[r.doc_id].append(r)
+        by_sequence[r.sequence_id].append(r)
+    for doc, text in texts:
+        ids = np.append(bpe.encode(text), np.uint32(0)).astype("<u4")
+        pieces = sorted(by_doc[doc], key=lambda r: r.piece)
+        assert [(r.piece, r.start, r.length) for r in pieces] == [(i, s, n) for i, (s, n) in enumerate(tokens.piece_bounds(len(ids), capacity))]
+        assert all(r.ids_crc32 == zlib.crc32(ids[r.start : r.start + r.length]) for r in pieces)
+    for rs in by_sequence.values():
+        at = 0
+        for r in sorted(rs, key=lambda r: r.offset):
+            assert r.offset == at
+            at += r.length
+        assert at <= capacity
+
+
+@pytest.mark.parametrize("name", ["op3_token_output", "op8_best_fit_packing"])
+def test_packed_pieces_round_trip(spark, sf_dir, name):
+    _check_segments(registry.QUERIES[name](spark, sf_dir).collect(), _texts(spark, sf_dir))
+
+
+def test_packing_odd(odd, none, tmp_path, spark):
+    assert best_fit.best_fit_packing(odd).filter("doc_id = 7").count() == 2 and best_fit.best_fit_packing(none).count() == 0
+    token_output.write_packed(odd, str(tmp_path / "p"))
+    assert token_output.read_segments(spark, str(tmp_path / "p")).filter("doc_id = 7").count() == 2
+    token_output.write_packed(none, str(tmp_path / "q"))
+    assert token_output.read_segments(spark, str(tmp_path / "q")).count() == 0
+    assert token_output.positions([0, 3, 5]).tolist() == [0, 1, 2, 0, 1]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_plan_covers_the_histogram(seed):
+    rng = random.Random(seed)
+    histogram = collections.Counter(min(200, max(1, int(rng.lognormvariate(3.5, 0.9)))) for _ in range(3000))
+    planned = best_fit.plan(dict(histogram), 200)
+    got = collections.Counter()
+    for config, times in planned:
+        assert sum(config) <= 200
+        for n in config:
+            got[n] += times
+    assert got == histogram
+    assert sum(t for _, t in planned) <= 1.01 * sum(k * v for k, v in histogram.items()) / 200 + 1
+
+
+# --- personal data ---------------------------------------------------------------------------------------
+
+
+def _brute_feistel(values, radix, key, kind):
+    ra, rb = radix if isinstance(radix, tuple) else (radix, radix)
+    h = len(values) // 2
+    a, b = list(values[:h]), list(values[h:])
+    for r in range(pii.ROUNDS):
+        other = b if r % 2 == 0 else a
+        digest = hashlib.sha256(f"{key}|{kind}|{r}|{len(values)}|{','.join(map(str, other))}".encode()).hexdigest()
+        noise = lambda i: int(digest[i % 9 * 7 : i % 9 * 7 + 7], 16)
+        if r % 2 == 0:
+            a = [(x + noise(i)) % ra for i, x in enumerate(a)]
+        else:
+            b = [(x + noise(i)) % rb for i, x in enumerate(b)]
+    return a + b
+
+
+def test_feistel_is_the_brute_force_one_and_inverts(spark):
+    rows = [([random.Random(n * 10 + k).randrange(10) for _ in range(n)],) for n in range(2, 20) for k in range(3)]
+    df = spark.createDataFrame(rows, "v array<int>").withColumn("p", pii.feistel(F.col("v"), 10, "k", "t"))
+    for r in df.withColumn("back", pii.feistel(F.col("p"), 10, "k", "t", inverse=True)).collect():
+        assert r.p == _brute_feistel(r.v, 10, "k", "t") and r.back == r.v
+
+
+def test_pseudonyms(spark, odd, none):
+    texts = ["card 4111-1111-1111-1111 and 4111111111111112", "1.2.3.4 300.1.1.1 +1 (017) 555-7713", "123-45-6789 000-12-3456 2024-02-29 2023-02-29", "GB82 WEST 1234 5698 7654 32; GB82WEST12345698765432", "Ab.c1@mail.example.com x@y.io", "4111-1111-1111-1111"]
+    out = pii.pseudonymise(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string"), "k").orderBy("doc_id").collect()
+    kinds = [[x.kind for x in r.pii] for r in out]
+    assert kinds == [["card"], ["ip", "phone"], ["ssn", "date"], ["iban", "iban"], ["email", "email"], ["card"]]
+    assert out[0].pii[0].pseudonym == out[5].pii[0].pseudonym != "4111-1111-1111-1111"
+    assert re.sub(r"\D", "", out[3].pii[0].pseudonym) == re.sub(r"\D", "", out[3].pii[1].pseudonym)
+    for r, t in zip(out, texts):
+        back = t
+        for x in reversed(r.pii):
+            assert t[x.start : x.end] == x.value and re.sub(r"[0-9a-zA-Z]", "x", x.value) == re.sub(r"[0-9a-zA-Z]", "x", x.pseudonym) or x.kind == "ip"
+            back = back[: x.start] + x.pseudonym + back[x.end :]
+        assert back == r.text
+    done = pii.pseudonymise(odd, "k")
+    assert done.count() == 10 and done.filter("text is null").count() == 1 and pii.pseudonymise(none, "k").count() == 0
+
+
+# --- quality ---------------------------------------------------------------------------------------------
+
+
+def _brute_counts(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    windows = collections.defaultdict(list)
+    for i in range(len(words) - 2):
+        windows[tuple(words[i : i + 3])].append(i)
+    repeated = {j for at in windows.values() if len(at) > 1 for i in at for j in (i, i + 1, i + 2)}
+    lines, seen, dup = (text or "").split("\n"), set(), 0
+    for line in lines:
+        if re.search(r"[^\x20\x09-\x0D]", line):
+            dup += line in seen
+            seen.add(line)
+    return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text or "")), dup, len(repeated)
+
+
+def test_counts_are_those_of_brute_force(spark, sf_dir):
+    for _, t in _texts(spark, sf_dir) + [(0, None), (0, ""), (0, "a b a b a b\n\n x \nx\n x "), (0, "é\x0b\x1c ü")]:
+        assert quality.text_counts(t)[:5] == _brute_counts(t)
+
+
+def test_quality_keeps_clean_and_drops_junk(spark, sf_dir, odd, none):
+    kept = quality.quality_filter(spark.read.parquet(f"{sf_dir}/documents.parquet")).join(spark.read.parquet(f"{sf_dir}/labels.parquet"), "doc_id").filter("not base_failed")
+    clean, junk = kept.filter("quality = 1"), kept.filter("quality = 0")
+    assert clean.filter("kept").count() >= 0.95 * clean.count() and junk.filter("kept").count() <= 0.3 * junk.count()
+    assert quality.quality_filter(odd).count() == 10 and quality.quality_filter(none).count() == 0
+
+
+def test_sketches_merge_exactly(spark):
+    df = spark.createDataFrame([(i % 3, float(i * i % 997)) for i in range(900)], "g int, v double").withColumn("bucket", quality.bucket(F.col("v")))
+    whole = {r.bucket: r["count"] for r in df.groupBy("bucket").count().collect()}
+    parts = collections.Counter()
+    for r in df.groupBy("g", "bucket").count().collect():
+        parts[r.bucket] += r["count"]
+    assert parts == whole
+    for r in df.withColumn("back", quality.bucket_value(F.col("bucket"))).collect():
+        assert abs(r.back - r.v) <= quality.ACCURACY * 1.01 * r.v + 1e-4
+
+
+# --- sentencepiece ---------------------------------------------------------------------------------------
+
+
+def test_sentencepiece_ids_spans_and_text(spark, sf_dir, odd, none):
+    codec = sentencepiece_codec.load(sentencepiece_codec.default_path())
+    for _, t in _texts(spark, sf_dir)[:80] + [(0, x) for x in ("", " ", "  a  b ", "\n\t x▁y", "🙂 日本\x00z", "a" * 3000)]:
+        ids, spans = codec.encode(t)
+        theirs = codec.model.encode(t, return_type="proto").pieces
+        assert ids == codec.model.encode(t) and [tuple(s) for s in spans.tolist()] == [(p.begin, p.end) for p in theirs]
+        assert codec.decode(ids) == codec.model.decode(ids)
+    encoded = sentencepiece_codec.encode_documents(odd)
+    assert encoded.count() == 10 and sentencepiece_codec.encode_documents(none).count() == 0
+    assert {r.text for r in sentencepiece_codec.decode_documents(encoded).filter("doc_id = 7").collect()} == {"pay 4111 1111 1111 1111 now, token = abcdef0123456789abcdef"}
+
+
+def test_character_map_normalises_as_the_library(spark, sf_dir):
+    import sentencepiece
+
+    theirs = sentencepiece.SentencePieceNormalizer(rule_name="nmt_nfkc", add_dummy_prefix=True, remove_extra_whitespaces=True, escape_whitespaces=True)
+    ours = sentencepiece_codec.Normalizer(theirs.serialized_model_proto())
+    for t in ["  ｱｲ  ﬁ ①x ", "Ｈｅｌｌｏ　ｗｏｒｌｄ", "é 　 ㍿ ​ a", "", "   ", "한글 한"] + [t for _, t in _texts(spark, sf_dir)[:10]]:
+        norm, align = ours(t)
+        want, offsets = theirs.normalize(t, with_offsets=True)
+        raw, source = norm.encode(), t.encode()
+        chars = [len(source[:a].decode()) for i, a in enumerate(align[:-1]) if raw[i] & 0xC0 != 0x80] + [len(source[: align[-1]].decode())]
+        assert norm == want and chars == list(offsets)
+
+
+# --- similarity join -------------------------------------------------------------------------------------
+
+
+def _brute_components(texts, words, threshold):
+    sets = {}
+    for d, t in texts:
+        w = (t or "").encode().lower().split()
+        sets[d] = frozenset(tuple(w[i : i + words]) for i in range(max(1, len(w) - words + 1))) if w else frozenset()
+    parent = {d: d for d in sets}
+
+    def find(x):
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    ids = sorted(sets)
+    for i, a in enumerate(ids):
+        for b in ids[i + 1 :]:
+            both = len(sets[a] & sets[b])
+            if sets[a] and both and Fraction(both, len(sets[a]) + len(sets[b]) - both) >= threshold:
+                x, y = sorted((find(a), find(b)))
+                parent[y] = x
+    return {d: find(d) for d in ids}, {d: len(s) for d, s in sets.items()}
+
+
+@pytest.mark.parametrize("words, threshold", [(3, Fraction(9, 10)), (5, Fraction(4, 5))])
+def test_jaccard_components_are_those_of_brute_force(spark, sf_dir, words, threshold):
+    rng = random.Random(5)
+    texts = _texts(spark, sf_dir)
+    base = [f"w{i}" for i in range(60)]
+    for k in range(120):  # one family of near copies around the threshold, larger than a tile's small loop
+        w = list(base)
+        for _ in range(k % 4):
+            w[rng.randrange(60)] = f"x{rng.randrange(5)}"
+        texts.append((10_000 + k, " ".join(w)))
+    rows = jaccard_join.similar_classes(spark.createDataFrame(texts, "doc_id long, text string"), words=words, threshold=threshold).collect()
+    comp, sizes = _brute_components(texts, words, threshold)
+    assert {r.doc_id: r.component_id for r in rows} == comp and {r.doc_id: r.n_shingles for r in rows} == sizes
+
+
+def test_jaccard_odd(odd, none):
+    rows = jaccard_join.similar_classes(odd).collect()
+    assert len(rows) == 10 and jaccard_join.similar_classes(none).count() == 0
+    by = {r.doc_id: r for r in rows}
+    assert by[3].n_shingles == by[4].n_shingles == by[8].n_shingles == 0 and by[4].component_id == 4
+    assert by[6].component_id == 5 and by[2].component_id == by[None].component_id == 1
+
+
+def test_components(spark):
+    rng = random.Random(2)
+    links = [(i, i + 1) for i in range(0, 40)] + [(100, i) for i in range(101, 140)] + [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(40)]
+    got = {r.id: r.comp for r in connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
+    parent = {}
+
+    def find(x):
+        parent.setdefault(x, x)
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        x, y = sorted((find(a), find(b)))
+        parent[y] = x
+    assert got == {x: find(x) for a, b in links if a != b for x in (a, b)}
+
+
+# --- secrets ---------------------------------------------------------------------------------------------
+
+
+def test_trigram_queries_hold_for_every_match():
+    def holds(q, low):
+        return q is True or (q in low if isinstance(q, str) else (all if q[0] == "and" else any)(holds(x, low) for x in q[1:]))
+
+    samples = {"assign": ["API_key = x", "apikey:y", "Passwd=zz", "SECRET 'x", "token\": q"], "access": ["AKIA9"], "hex": ["0"], "private_key": ["-----BEGIN RSA PRIVATE KEY-----"], "code_host": ["ghp_a"]}
+    for rule in secrets.RULES:
+        for s in samples[rule.kind]:
+            if re.search(rule.pattern, s):
+                assert holds(secrets.trigram_query(rule.pattern), s.lower()), s
+    assert secrets.trigram_query("[0-9a-f]+") is secrets.ALWAYS and secrets.trigram_query("ab") is secrets.ALWAYS
+
+
+def test_secrets_are_those_of_brute_force(spark, odd, none):
+    rng = random.Random(4)
+    bits = ["password", " = ", "'", "abcdef0123456789", "AKIA", "Q7Z9" * 4, "é🙂", " ", "token:", "secret=", "x1" * 7, "\n", "API_KEY", "\"", "-----BEGIN PRIVATE KEY-----"]
+    texts = [(i, "".join(rng.choice(bits) for _ in range(25))) for i in range(80)]
+    for r in secrets.scan_secrets(spark.createDataFrame(texts, "doc_id long, text string")).collect():
+        want = sorted((m.start(), i, m.end()) for i, rule in enumerate(secrets.RULES) for m in re.finditer(rule.pattern, r.text, re.ASCII) if len(m.group(rule.group)) >= rule.least)
+        assert [tuple(x) for x in r.found] == want
+    found = secrets.scan_secrets(odd)
+    assert found.count() == 10 and secrets.scan_secrets(none).count() == 0
+    masked = found.withColumn("text", secrets.mask_secrets(found)).filter("doc_id = 7").collect()
+    assert {r.text for r in masked} == {"pay 4111 1111 1111 1111 now, [SECRET]"}
+
+
+# --- web archives ----------------------------------------------------------------------------------------
+
+
+def test_loser_tree_merges_runs():
+    for k in range(0, 9):
+        rng = random.Random(k)
+        runs = [sorted(rng.randrange(50) for _ in range(rng.randrange(6))) for _ in range(k)]
+        assert list(warc.LoserTree(runs)) == sorted(x for r in runs for x in r)
+
+
+def test_archives_odd(spark, tmp_path):
+    big = "<p>x</p>\r\n\r\nWARC/1.1\r\n" * 100
+    rows = [(1, "http://b.org/x", big, 0), (2, "http://www.a.org/y?q#f", big, 0), (3, None, None, 0), (None, "http://a.org/y?q", big, 0), (4, "no url\n", "", 0), (4, "no url\n", "", 0)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, d int")
+    out = warc.capture_histories(pages, str(tmp_path / "w")).collect()
+    assert sorted((str(r.page_id), r.record_type, r.refers_to, r.payload_bytes) for r in out) == sorted(
+        [("1", "revisit", 2, 2200), ("2", "response", None, 2200), ("3", "response", None, 0), ("None", "revisit", 2, 2200), ("4", "response", None, 0), ("4", "response", None, 0)]
+    )
+    keys = [(r.url_key, r.captured) for r in out]
+    assert keys == sorted(keys) and keys[0][0] == "no%20url%20" or keys == sorted(keys)
+    assert warc.capture_histories(pages.limit(0), str(tmp_path / "v")).count() == 0

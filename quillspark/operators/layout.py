@@ -91,6 +91,7 @@ def suppress_duplicates(boxes: DataFrame, limit: float = 0.6, page: str = "page"
 
 def _lines(rows: list[dict]) -> list[dict]:
     centre = lambda r: r["y0"] + r["h"] / 2
+    middle = lambda r: r["x0"] + r["w"] / 2
     line, current = -1, []
     out = []
     for row in sorted(rows, key=lambda r: (centre(r), r["x0"], r["box_id"])):
@@ -98,7 +99,7 @@ def _lines(rows: list[dict]) -> list[dict]:
         if current:
             mean_c = sum(map(centre, current)) / len(current)
             mean_h = sum(r["h"] for r in current) / len(current)
-            dx, dy = abs(row["x0"] - current[-1]["x0"]), abs(centre(row) - centre(current[-1]))
+            dx, dy = abs(middle(row) - middle(current[-1])), abs(centre(row) - centre(current[-1]))
             joins = abs(mean_c - centre(row)) < 0.5 * mean_h or (dx > mean_h and dy <= 0.1 * dx)
         if not joins:
             current, line = [], line + 1

@@ -412,31 +412,31 @@ def field_winner(spark, d):
 # --- export ----------------------------------------------------------------------------------------------
 
 
-@query(f"WITH {LAYOUT_SQL} SELECT page, box_id, concat_ws(chr(9), 5, 1, 1, 1, row_number() OVER (PARTITION BY page ORDER BY y0, x0, box_id, conf), 1, x0, y0, w, h, CAST(round_even(greatest(0, least(1, conf)) * 100, 0) AS INT), 'w' || box_id) AS tsv FROM lay")
+@query(f"WITH {LAYOUT_SQL} SELECT page, box_id, concat_ws(chr(9), 5, 1, 1, 1, row_number() OVER (PARTITION BY page ORDER BY y0, x0, box_id, h, conf), 1, x0, y0, w, h, CAST(round_even(greatest(0, least(1, conf)) * 100, 0) AS INT), 'w' || box_id) AS tsv FROM lay")
 def tsv_words(spark, d):
-    line = F.row_number().over(Window.partitionBy("page").orderBy("y0", "x0", "box_id", "conf"))
+    line = F.row_number().over(Window.partitionBy("page").orderBy("y0", "x0", "box_id", "h", "conf"))
     cells = [F.lit("5"), F.lit("1"), F.lit("1"), F.lit("1"), line, F.lit("1"), F.col("x0"), F.col("y0"), F.col("w"), F.col("h"), checksums.confidence_100(F.col("conf")), F.concat(F.lit("w"), F.col("box_id").cast("string"))]
     return boxes(spark, d).select("page", "box_id", F.concat_ws("\t", *(c.cast("string") for c in cells)).alias("tsv"))
 
 
-@query(f"""WITH {LAYOUT_SQL} SELECT page, string_agg('<span class=''ocrx_word'' title=''bbox ' || x0 || ' ' || y0 || ' ' || (x0 + w) || ' ' || (y0 + h) || '; x_wconf ' || CAST(round_even(greatest(0, least(1, conf)) * 100, 0) AS INT) || '''>w' || box_id || '</span>', '' ORDER BY y0, x0, box_id) AS hocr FROM lay GROUP BY page""")
+@query(f"""WITH {LAYOUT_SQL} SELECT page, string_agg('<span class=''ocrx_word'' title=''bbox ' || x0 || ' ' || y0 || ' ' || (x0 + w) || ' ' || (y0 + h) || '; x_wconf ' || CAST(round_even(greatest(0, least(1, conf)) * 100, 0) AS INT) || '''>w' || box_id || '</span>', '' ORDER BY y0, x0, box_id, h, conf) AS hocr FROM lay GROUP BY page""")
 def hocr_words(spark, d):
     s = lambda c: c.cast("string")
     word = F.concat(
         F.lit("<span class='ocrx_word' title='bbox "), s(F.col("x0")), F.lit(" "), s(F.col("y0")), F.lit(" "), s(F.col("x0") + F.col("w")), F.lit(" "), s(F.col("y0") + F.col("h")),
         F.lit("; x_wconf "), s(checksums.confidence_100(F.col("conf"))), F.lit("'>w"), s(F.col("box_id")), F.lit("</span>"),
     )
-    rows = boxes(spark, d).groupBy("page").agg(F.array_sort(F.collect_list(F.struct("y0", "x0", "box_id", word.alias("word")))).alias("words"))
+    rows = boxes(spark, d).groupBy("page").agg(F.array_sort(F.collect_list(F.struct("y0", "x0", "box_id", "h", "conf", word.alias("word")))).alias("words"))
     return rows.select("page", F.array_join(F.transform("words", lambda x: x["word"]), "").alias("hocr"))
 
 
 @query(
-    f"""WITH {LAYOUT_SQL} SELECT page, string_agg('<String CONTENT="w' || box_id || '" HPOS="' || x0 || '" VPOS="' || y0 || '" WIDTH="' || w || '" HEIGHT="' || h || '"/>', '' ORDER BY y0, x0, box_id) AS alto FROM lay GROUP BY page"""
+    f"""WITH {LAYOUT_SQL} SELECT page, string_agg('<String CONTENT="w' || box_id || '" HPOS="' || x0 || '" VPOS="' || y0 || '" WIDTH="' || w || '" HEIGHT="' || h || '"/>', '' ORDER BY y0, x0, box_id, h, conf) AS alto FROM lay GROUP BY page"""
 )
 def alto_strings(spark, d):
     s = lambda c: F.col(c).cast("string")
     word = F.concat(F.lit('<String CONTENT="w'), s("box_id"), F.lit('" HPOS="'), s("x0"), F.lit('" VPOS="'), s("y0"), F.lit('" WIDTH="'), s("w"), F.lit('" HEIGHT="'), s("h"), F.lit('"/>'))
-    rows = boxes(spark, d).groupBy("page").agg(F.array_sort(F.collect_list(F.struct("y0", "x0", "box_id", word.alias("word")))).alias("words"))
+    rows = boxes(spark, d).groupBy("page").agg(F.array_sort(F.collect_list(F.struct("y0", "x0", "box_id", "h", "conf", word.alias("word")))).alias("words"))
     return rows.select("page", F.array_join(F.transform("words", lambda x: x["word"]), "").alias("alto"))
 
 

@@ -57,7 +57,7 @@ def mask_matches(text: Column, pattern: str, keep=None, mask: str = "█") -> Co
     """Each character of every match (for which ``keep`` holds) replaced by the mask character."""
     gaps, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     hide = lambda m: F.repeat(F.lit(mask), F.length(m)) if keep is None else F.when(keep(m), F.repeat(F.lit(mask), F.length(m))).otherwise(m)
-    return F.when(text.rlike(pattern), F.array_join(F.transform(gaps, lambda g, i: F.concat(g, F.coalesce(hide(F.get(found, i)), F.lit("")))), "")).otherwise(text)
+    return F.when(text.rlike(pattern), F.array_join(F.zip_with(gaps, found, lambda g, m: F.concat(g, F.coalesce(hide(m), F.lit("")))), "")).otherwise(text)
 
 
 def xml_escape(text: Column) -> Column:

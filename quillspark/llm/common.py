@@ -54,6 +54,33 @@ def text_or_empty(column: str | Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit(""))
 
 
+#: Elements folded by one accumulator (an array that grows by copying), so that folding stays near linear.
+RUN = 256
+
+
+def bind(value: Column, body) -> Column:
+    """``body`` of the value, which is evaluated once even where ``body`` uses it inside lambdas."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def in_runs(values: Column) -> Column:
+    """The array cut into arrays of ``RUN`` elements, the last one shorter; of an empty array none."""
+    return bind(values, lambda v: F.transform(F.filter(F.sequence(F.lit(0), F.floor(F.size(v) / RUN).cast("int")), lambda r: r * RUN < F.size(v)), lambda r: F.slice(v, r * RUN + 1, F.lit(RUN))))
+
+
+def running(values: Column, join) -> Column:
+    """Running results of an associative ``join`` over an array of integers of zero or more (0 is neutral)."""
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        at = join(acc["at"], x)
+        return F.struct(at.alias("at"), F.array_append(acc["out"], at).alias("out"))
+
+    within = F.transform(in_runs(values), lambda run: F.aggregate(run, zero, step, lambda acc: acc["out"]))
+    before = lambda runs: F.concat(F.array(F.lit(0)), F.aggregate(F.transform(runs, lambda run: F.element_at(run, -1)), zero, step, lambda acc: acc["out"]))
+    return bind(within, lambda runs: F.flatten(F.zip_with(runs, F.slice(before(runs), F.lit(1), F.size(runs)), lambda run, at: F.transform(run, lambda x: join(x, at)))))
+
+
 def held_out(doc_id: str | Column) -> Column:
     """Rows that no label may be learned from: crc32 of the id as text, modulo 4, is 2."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id

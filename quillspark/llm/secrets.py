@@ -24,7 +24,7 @@ from re import _parser as sre_parser
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, table, text_or_empty
+from .common import bind, in_runs, materialise, running, table, text_or_empty
 
 ALWAYS = True
 
@@ -157,21 +157,16 @@ def _spans(rule: Rule, order: int, text: Column) -> Column:
     cut = F.split(text, pattern, -1)
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     sizes = F.regexp_extract_all(text, F.lit(pattern), F.lit(rule.group)) if rule.group else whole
-    # offsets: a running sum over the lengths of gaps and matches
-    gaps, lens, counted = F.transform(cut, F.length), F.transform(whole, F.length), F.transform(sizes, F.length)
-    parts = F.transform(
-        F.sequence(F.lit(0), F.size(whole) - 1),
-        lambda i: F.struct(F.get(gaps, i).alias("gap"), F.get(lens, i).alias("len"), F.get(counted, i).alias("counted")),
-    )
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,ord:int,end:int>>").alias("out"))
+    # one pass over the parts: an index into them inside a lambda would search the text anew for each match
+    parts = F.zip_with(cut, whole, lambda c, m: F.struct(F.length(c).alias("gap"), F.length(m).alias("len")))
+    parts = F.filter(F.zip_with(parts, F.transform(sizes, F.length), lambda p, n: F.struct(p["gap"].alias("gap"), p["len"].alias("len"), n.alias("counted"))), lambda p: p["len"].isNotNull())
 
-    def step(acc: Column, p: Column) -> Column:
-        start = acc["at"] + p["gap"]
-        end = start + p["len"]
-        span = F.struct(start.alias("start"), F.lit(order).alias("ord"), end.alias("end"))
-        return F.struct(end.alias("at"), F.when(p["counted"] >= rule.least, F.array_append(acc["out"], span)).otherwise(acc["out"]).alias("out"))
+    def placed(p: Column) -> Column:
+        ends = running(F.transform(p, lambda x: x["gap"] + x["len"]), lambda a, b: a + b)
+        spans = F.zip_with(p, ends, lambda x, end: F.when(x["counted"] >= rule.least, F.struct((end - x["len"]).alias("start"), F.lit(order).alias("ord"), end.alias("end"))))
+        return F.filter(spans, lambda x: x.isNotNull())
 
-    return F.aggregate(parts, zero, step, lambda acc: acc["out"])
+    return bind(parts, placed)
 
 
 def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, key: str = "doc_id", text: str = "text", out: str = "found") -> DataFrame:
@@ -201,18 +196,21 @@ def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, key: str = "d
 
 def mask_secrets(docs: DataFrame, found: str = "found", text: str = "text") -> Column:
     """The text with each found span replaced by ``[SECRET]``; overlapping spans become one."""
-    body = text_or_empty(text)
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        more = s["start"] >= acc["at"]
-        return F.struct(
-            F.greatest(acc["at"], s["end"]).alias("at"),
-            F.when(more, F.concat(acc["out"], F.substring(body, acc["at"] + 1, s["start"] - acc["at"]), F.lit("[SECRET]"))).otherwise(acc["out"]).alias("out"),
-        )
-
-    done = F.aggregate(F.col(found), zero, step, lambda acc: F.concat(acc["out"], F.substring(body, acc["at"] + 1, F.length(body))))
-    return F.when(F.size(found) == 0, F.col(text)).otherwise(done)
+    body, spans = text_or_empty(text), F.col(found)
+    # a span is written where the furthest end before it has been passed; the text is cut once for a run of spans
+    at = F.concat(F.array(F.lit(0)), running(F.transform(spans, lambda s: s["end"]), F.greatest))
+
+    def written(run: Column) -> Column:
+        base = F.element_at(run, 1)["at"]
+        near = F.substring(body, base + 1, F.greatest(F.element_at(run, -1)["start"] - base, F.lit(0)))
+        one = lambda near: F.transform(run, lambda s: F.when(s["start"] >= s["at"], F.concat(F.substring(near, s["at"] - base + 1, s["start"] - s["at"]), F.lit("[SECRET]"))).otherwise(""))
+        return F.array_join(bind(near, one), "")
+
+    def masked(at: Column) -> Column:
+        pairs = F.zip_with(F.slice(at, F.lit(1), F.size(spans)), spans, lambda a, s: F.struct(a.alias("at"), s["start"].alias("start")))
+        return F.concat(F.array_join(F.transform(in_runs(pairs), written), ""), F.substring(body, F.element_at(at, -1) + 1, F.length(body)))
+
+    return F.when(F.size(found) == 0, F.col(text)).otherwise(bind(at, masked))
 
 
 def _joined(spans: Column, rules: tuple[Rule, ...]) -> Column:

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_or_empty
+from .common import bind, running, table, text_or_empty
 
 ROUNDS = 8
 KINDS = ("email", "iban", "ip", "date", "ssn", "card", "phone")
@@ -44,30 +44,39 @@ def _digits(text: Column) -> Column:
 
 def _numbers(digits: Column) -> Column:
     """The digits of a string that is not empty, as integers."""
-    return F.transform(F.sequence(F.lit(1), F.greatest(F.length(digits), F.lit(1))), lambda i: F.substring(digits, i, F.lit(1)).cast("int"))
+    return bind(digits, lambda d: F.transform(F.sequence(F.lit(1), F.greatest(F.length(d), F.lit(1))), lambda i: F.substring(d, i, F.lit(1)).cast("int")))
 
 
-def _noise(key: str, kind: str, round_: Column, size: Column, other: Column, i: Column) -> Column:
+def _digest(key: str, kind: str, round_: Column, size: Column, other: Column) -> Column:
+    return F.sha2(F.concat_ws("|", F.lit(key), F.lit(kind), round_.cast("string"), size.cast("string"), F.array_join(F.transform(other, lambda x: x.cast("string")), ",")), 256)
+
+
+def _noise(digest: Column, i: Column) -> Column:
     """The i-th 28-bit number that the round's digest of the other half gives."""
-    digest = F.sha2(F.concat_ws("|", F.lit(key), F.lit(kind), round_.cast("string"), size.cast("string"), F.array_join(F.transform(other, lambda x: x.cast("string")), ",")), 256)
     return F.conv(F.substring(digest, (i % 9) * 7 + 1, F.lit(7)), 16, 10).cast("long")
 
 
 def feistel(values: Column, radix: int | tuple[int, int], key: str, kind: str, inverse: bool = False) -> Column:
     """Permutes arrays of integers below ``radix`` (a pair: the radix of the first and of the second half) of each length of two or more."""
     ra, rb = radix if isinstance(radix, tuple) else (radix, radix)
-    size = F.size(values)
-    half = F.floor(size / 2).cast("int")
-    zero = F.struct(F.slice(values, F.lit(1), half).alias("a"), F.slice(values, half + 1, size - half).alias("b"))
     sign = -1 if inverse else 1
+    rounds = F.sequence(F.lit(ROUNDS - 1), F.lit(0)) if inverse else F.sequence(F.lit(0), F.lit(ROUNDS - 1))
 
-    def step(acc: Column, r: Column) -> Column:
-        mix = lambda part, other, radix_: F.transform(part, lambda x, i: F.pmod(x + sign * _noise(key, kind, r, size, other, i), F.lit(radix_)).cast("int"))
-        return F.when(r % 2 == 0, F.struct(mix(acc["a"], acc["b"], ra).alias("a"), acc["b"].alias("b"))).otherwise(F.struct(acc["a"].alias("a"), mix(acc["b"], acc["a"], rb).alias("b")))
+    def permuted(values: Column) -> Column:
+        size = F.size(values)
+        half = F.floor(size / 2).cast("int")
+        zero = F.struct(F.slice(values, F.lit(1), half).alias("a"), F.slice(values, half + 1, size - half).alias("b"))
 
-    rounds = F.sequence(F.lit(ROUNDS - 1), F.lit(0)) if inverse else F.sequence(F.lit(0), F.lit(ROUNDS - 1))
-    done = F.aggregate(rounds, zero, step, lambda acc: F.concat(acc["a"], acc["b"]))
-    return F.when(size >= 2, done).otherwise(values)
+        def mix(r: Column, part: Column, other: Column, radix_: int) -> Column:
+            moved = lambda digest: F.transform(part, lambda x, i: F.pmod(x + sign * _noise(digest, i), F.lit(radix_)).cast("int"))
+            return bind(_digest(key, kind, r, size, other), moved)
+
+        def step(acc: Column, r: Column) -> Column:
+            return F.when(r % 2 == 0, F.struct(mix(r, acc["a"], acc["b"], ra).alias("a"), acc["b"].alias("b"))).otherwise(F.struct(acc["a"].alias("a"), mix(r, acc["b"], acc["a"], rb).alias("b")))
+
+        return F.when(size >= 2, F.aggregate(rounds, zero, step, lambda acc: F.concat(acc["a"], acc["b"]))).otherwise(values)
+
+    return bind(values, permuted)
 
 
 def _text_of(numbers: Column) -> Column:
@@ -78,12 +87,15 @@ def refill(shape: Column, chars: Column, takes: str) -> Column:
     """``shape`` with its characters that match ``takes`` replaced, in order, by those of ``chars``."""
     zero = F.struct(F.lit("").alias("out"), F.lit(1).alias("at"))
 
-    def step(acc: Column, i: Column) -> Column:
-        c = F.substring(shape, i, F.lit(1))
-        hit = c.rlike(takes)
-        return F.struct(F.concat(acc["out"], F.when(hit, F.substring(chars, acc["at"], F.lit(1))).otherwise(c)).alias("out"), (acc["at"] + hit.cast("int")).alias("at"))
+    def filled(both: Column) -> Column:
+        def step(acc: Column, i: Column) -> Column:
+            c = F.substring(both["shape"], i, F.lit(1))
+            hit = c.rlike(takes)
+            return F.struct(F.concat(acc["out"], F.when(hit, F.substring(both["chars"], acc["at"], F.lit(1))).otherwise(c)).alias("out"), (acc["at"] + hit.cast("int")).alias("at"))
+
+        return F.aggregate(F.sequence(F.lit(1), F.greatest(F.length(both["shape"]), F.lit(1))), zero, step, lambda acc: acc["out"])
 
-    return F.aggregate(F.sequence(F.lit(1), F.greatest(F.length(shape), F.lit(1))), zero, step, lambda acc: acc["out"])
+    return bind(F.struct(shape.alias("shape"), chars.alias("chars")), filled)
 
 
 def _luhn_digit(numbers: Column) -> Column:
@@ -92,11 +104,14 @@ def _luhn_digit(numbers: Column) -> Column:
 
 
 def _mod97(text: Column) -> Column:
-    def step(rem: Column, i: Column) -> Column:
-        c = F.substring(text, i, F.lit(1))
-        return F.when(c.rlike("[0-9]"), (rem * 10 + F.ascii(c) - 48) % 97).otherwise((rem * 100 + F.ascii(c) - 55) % 97)
+    def remainder(text: Column) -> Column:
+        def step(rem: Column, i: Column) -> Column:
+            c = F.substring(text, i, F.lit(1))
+            return F.when(c.rlike("[0-9]"), (rem * 10 + F.ascii(c) - 48) % 97).otherwise((rem * 100 + F.ascii(c) - 55) % 97)
+
+        return F.aggregate(F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1))), F.lit(0), step)
 
-    return F.aggregate(F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1))), F.lit(0), step)
+    return bind(text, remainder)
 
 
 def _valid_card(m: Column) -> Column:
@@ -108,7 +123,7 @@ def _valid_card(m: Column) -> Column:
 def _new_card(m: Column, key: str) -> Column:
     d = _digits(m)
     body = feistel(_numbers(F.substring(d, F.lit(1), F.length(d) - 1)), 10, key, "card")
-    return refill(m, F.concat(_text_of(body), _luhn_digit(body).cast("string")), "[0-9]")
+    return refill(m, bind(body, lambda b: F.concat(_text_of(b), _luhn_digit(b).cast("string"))), "[0-9]")
 
 
 def _valid_iban(m: Column) -> Column:
@@ -120,8 +135,8 @@ def _new_iban(m: Column, key: str) -> Column:
     c = F.replace(m, F.lit(" "), F.lit(""))
     land, body = F.substring(c, 1, 2), F.substring(c, 5, 40)
     new = refill(body, _text_of(feistel(_numbers(_digits(body)), 10, key, "iban")), "[0-9]")
-    check = F.lpad((98 - _mod97(F.concat(new, land, F.lit("00")))).cast("string"), 2, "0")
-    return refill(m, F.concat(land, check, new), "[A-Z0-9]")
+    check = lambda n: F.lpad((98 - _mod97(F.concat(n, land, F.lit("00")))).cast("string"), 2, "0")
+    return refill(m, bind(new, lambda n: F.concat(land, check(n), n)), "[A-Z0-9]")
 
 
 def _valid_ip(m: Column) -> Column:
@@ -186,13 +201,14 @@ def _new_phone(m: Column, key: str) -> Column:
 
 
 def _valid_email(m: Column) -> Column:
-    return m.rlike(r"^[A-Za-z0-9._%+-]*[A-Za-z0-9][A-Za-z0-9._%+-]*@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,24}$")
+    """A mailbox name of at most 64 characters (the limit of RFC 5321) that has a letter or digit, before a domain."""
+    return (F.length(F.substring_index(m, "@", 1)) <= 64) & m.rlike(r"^[A-Za-z0-9._%+-]*[A-Za-z0-9][A-Za-z0-9._%+-]*@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,24}$")
 
 
 def _new_email(m: Column, key: str) -> Column:
     box, at = F.lower(F.substring_index(m, "@", 1)), F.concat(F.lit("@"), F.substring_index(m, "@", -1))
     used = F.regexp_replace(box, "[^a-z0-9]", "")
-    values = F.transform(F.sequence(F.lit(1), F.greatest(F.length(used), F.lit(1))), lambda i: F.instr(F.lit(LETTERS), F.substring(used, i, F.lit(1))) - 1)
+    values = bind(used, lambda u: F.transform(F.sequence(F.lit(1), F.greatest(F.length(u), F.lit(1))), lambda i: F.instr(F.lit(LETTERS), F.substring(u, i, F.lit(1))) - 1))
     # a mailbox of one character has nothing to be permuted with: it is paired with a constant
     new = F.when(F.size(values) >= 2, feistel(values, 36, key, "email")).otherwise(F.slice(feistel(F.concat(values, F.array(F.lit(0))), 36, key, "email"), 1, 1))
     letters = F.array_join(F.transform(new, lambda x: F.substring(F.lit(LETTERS), x + 1, F.lit(1))), "")
@@ -221,19 +237,14 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     empty = F.array().cast("array<struct<kind:string,value:string,pseudonym:string>>")
     hit = body.rlike("[0-9@]") & body.rlike(PATTERN)  # every alternative needs a digit or an at sign
     rows = docs.withColumn("__qs_hit", F.when(hit, F.transform(F.transform(found, one), renamed)).otherwise(empty)).withColumn("__qs_gap", F.when(hit, F.split(body, PATTERN, -1)).otherwise(F.array(body)))
-    pieces = F.transform(F.col("__qs_gap"), lambda g, i: F.concat(g, F.coalesce(F.get(F.col("__qs_hit"), i)["pseudonym"], F.lit(""))))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<kind:string,start:int,end:int,value:string,pseudonym:string>>").alias("out"))
-
-    def step(acc: Column, i: Column) -> Column:
-        h = F.get(F.col("__qs_hit"), i)
-        start = acc["at"] + F.length(F.get(F.col("__qs_gap"), i))
-        end = start + F.length(h["value"])
-        span = F.struct(h["kind"].alias("kind"), start.alias("start"), end.alias("end"), h["value"].alias("value"), h["pseudonym"].alias("pseudonym"))
-        return F.struct(end.alias("at"), F.when(h["kind"] != "", F.array_append(acc["out"], span)).otherwise(acc["out"]).alias("out"))
-
-    spans = F.when(F.size("__qs_hit") > 0, F.aggregate(F.sequence(F.lit(0), F.greatest(F.size("__qs_hit") - 1, F.lit(0))), zero, step, lambda acc: acc["out"])).otherwise(
-        F.array().cast("array<struct<kind:string,start:int,end:int,value:string,pseudonym:string>>")
-    )
+    pieces = F.zip_with("__qs_gap", "__qs_hit", lambda g, h: F.concat(g, F.coalesce(h["pseudonym"], F.lit(""))))
+    gaps = F.slice("__qs_gap", F.lit(1), F.size("__qs_hit"))
+    ends = running(F.zip_with(gaps, F.col("__qs_hit"), lambda g, h: F.length(g) + F.length(h["value"])), lambda a, b: a + b)
+
+    def span(h: Column, end: Column) -> Column:
+        return F.struct(h["kind"].alias("kind"), (end - F.length(h["value"])).alias("start"), end.alias("end"), h["value"].alias("value"), h["pseudonym"].alias("pseudonym"))
+
+    spans = F.filter(F.zip_with("__qs_hit", ends, span), lambda s: s["kind"] != "")
     return rows.withColumn("pii", spans).withColumn(text, F.when(F.size("pii") > 0, F.array_join(pieces, "")).otherwise(F.col(text))).drop("__qs_hit", "__qs_gap")
 
 

@@ -60,6 +60,19 @@ def mask_matches(text: Column, pattern: str, keep=None, mask: str = "█") -> Co
     return F.when(text.rlike(pattern), F.array_join(F.zip_with(gaps, found, lambda g, m: F.concat(g, F.coalesce(hide(m), F.lit("")))), "")).otherwise(text)
 
 
+def split_words(line: Column, x0: Column, width: Column) -> Column:
+    """(word, x0, w) of the words of a line that has no word boxes: its width divided in proportion to their characters."""
+    words = F.filter(F.split(line, r"(?U)\s+"), lambda w: w != "")
+    total = F.length(F.regexp_replace(line, r"(?U)\s+", ""))
+    zero = F.struct(F.lit(0).alias("at"), total.alias("total"), F.array().cast("array<struct<word:string,x0:double,w:double>>").alias("out"))
+
+    def step(acc: Column, word: Column) -> Column:
+        box = F.struct(word.alias("word"), (x0 + width * acc["at"] / acc["total"]).alias("x0"), (width * F.length(word) / acc["total"]).alias("w"))
+        return F.struct((acc["at"] + F.length(word)).alias("at"), acc["total"].alias("total"), F.array_append(acc["out"], box).alias("out"))
+
+    return F.aggregate(words, zero, step, lambda acc: acc["out"])
+
+
 def xml_escape(text: Column) -> Column:
     for raw, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;")):
         text = F.replace(text, F.lit(raw), F.lit(name))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import checksums, geometry, text
-from ..operators import decode, layout, metrics, tables
+from ..operators import decode, layout, metrics, scores, tables
 from ..sources.tables import LAYOUT_SQL
 from ..sources.tables import layout as boxes
 from ..sources.tables import table
@@ -453,6 +453,44 @@ def xml_escape(spark, d):
     return table(spark, d, "documents").select("doc_id", F.sha2(text.xml_escape(F.col("text")), 256).alias("xml"))
 
 
+@query(f"WITH {LAYOUT_SQL} SELECT page, CAST(to_json({{'page': page, 'boxes': list({{'box_id': box_id, 'x0': x0, 'y0': y0, 'w': w, 'h': h}} ORDER BY box_id)}}) AS VARCHAR) AS json FROM lay GROUP BY page")
+def page_json(spark, d):
+    rows = boxes(spark, d).groupBy("page").agg(F.array_sort(F.collect_list(F.struct("box_id", "x0", "y0", "w", "h"))).alias("boxes"))
+    return rows.select("page", F.to_json(F.struct("page", "boxes")).alias("json"))
+
+
+@query(
+    """WITH t AS (SELECT p_partkey, CAST(p_partkey % 100 AS DOUBLE) AS x, CAST(p_size * 10 AS DOUBLE) AS width, regexp_extract_all(p_name, '[^ ]+') AS ws FROM part),
+    u AS (SELECT *, unnest(range(1, len(ws) + 1)) AS i, length(array_to_string(ws, '')) AS total FROM t)
+    SELECT p_partkey, ws[i] AS word, round(x + width * length(coalesce(array_to_string(ws[1:i-1], ''), '')) / total, 6) AS x0, round(width * length(ws[i]) / total, 6) AS w FROM u"""
+)
+def word_split(spark, d):
+    words = text.split_words(F.col("p_name"), (F.col("p_partkey") % 100).cast("double"), (F.col("p_size") * 10).cast("double"))
+    return table(spark, d, "part").select("p_partkey", F.explode(words).alias("b")).select("p_partkey", "b.word", F.round("b.x0", 6).alias("x0"), F.round("b.w", 6).alias("w"))
+
+
+# --- scores ----------------------------------------------------------------------------------------------
+
+
+@query(
+    """WITH s AS (SELECT l_orderkey AS page, CAST(l_linenumber % 4 * 90 AS INT) AS degrees, round(sum((1 - l_discount * 5) * length(CAST(l_partkey AS VARCHAR))), 6) AS score FROM lineitem GROUP BY ALL)
+    SELECT page, arg_max(degrees, {'s': score, 't': -degrees}) AS degrees, max(score) AS score FROM s GROUP BY page"""
+)
+def orientation_score(spark, d):
+    readings = table(spark, d, "lineitem").select(
+        F.col("l_orderkey").alias("page"), (F.col("l_linenumber") % 4 * 90).cast("int").alias("degrees"), F.col("l_partkey").cast("string").alias("text"), (1 - F.col("l_discount") * 5).alias("conf")
+    )
+    return scores.best_orientation(readings)
+
+
+@query(
+    f"""WITH {LAYOUT_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY w * h DESC, box_id) AS place FROM lay), s AS (SELECT page, pack, round(avg(conf), 6) AS score FROM r WHERE place <= 5 GROUP BY ALL)
+    SELECT page, pack, score FROM s QUALIFY max(score) OVER (PARTITION BY page) > 0 AND score >= greatest(0.35, 0.85 * max(score) OVER (PARTITION BY page))"""
+)
+def language_score(spark, d):
+    return scores.dominant_packs(boxes(spark, d).withColumn("text", F.lit("read")))
+
+
 # --- numeric arrays --------------------------------------------------------------------------------------
 
 _GREY = "g AS (SELECT vec_id, i, CAST(floor((CAST(embedding[i + 1] AS DOUBLE) + 4) * 32) AS BIGINT) AS v FROM (SELECT vec_id, embedding, unnest(range(0, 64)) AS i FROM embeddings))"

@@ -28,14 +28,14 @@ LAYOUT_SQL = """lay AS (SELECT l_orderkey AS page, CAST(l_linenumber AS BIGINT)
   l_linenumber * 30 + l_suppkey % 7 AS y0, l_partkey % 60 + 40 AS w, l_suppkey % 5 + 18 AS h, round(1 - l_discount * 5, 4) AS conf, l_suppkey % 3 AS pack FROM lineitem)"""
 
 
-def recognised_files(spark: SparkSession, path: str, recogniser, schema: str, max_pixels: int | None = None) -> DataFrame:
-    """Image files through an injected recogniser: ``recogniser(content) -> list of rows``; a file that fails gives a row with its error.
+def recognise(files: DataFrame, recogniser, schema: str) -> DataFrame:
+    """(path, content) through an injected recogniser: ``recogniser()`` is called once for a task and gives ``content -> list of rows``.
 
-    Returns (path, <schema>, error); the recogniser is built once in each worker by calling ``recogniser()``.
+    Returns (path, <schema>, error); a file that fails gives one row with its error.
     """
     import pandas as pd
 
-    names = [f.name for f in spark.createDataFrame([], schema).schema]
+    names = [f.name for f in files.sparkSession.createDataFrame([], schema).schema]
 
     def run(batches):
         read = recogniser()
@@ -48,5 +48,9 @@ def recognised_files(spark: SparkSession, path: str, recogniser, schema: str, ma
                     out.append((name, *[None] * len(names), f"{type(e).__name__}: {e}"))
             yield pd.DataFrame(out, columns=["path", *names, "error"])
 
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
     return files.mapInPandas(run, f"path string, {schema}, error string")
+
+
+def recognised_files(spark: SparkSession, path: str, recogniser, schema: str) -> DataFrame:
+    """The files of a directory through ``recognise``."""
+    return recognise(spark.read.format("binaryFile").load(path).select("path", "content"), recogniser, schema)

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from quillspark.functions import checksums, text
 from quillspark.operators import decode, layout, metrics, tables
 from quillspark.plans import catalogue
+from quillspark.sources import tables as tables_source
+from quillspark.streaming import files
 
 
 def value(spark, make, v):
@@ -118,3 +120,25 @@ def test_ctc(spark):
     df = spark.createDataFrame([(1, flat)], "id long, v array<double>")
     assert df.select(decode.ctc_text(decode.best_classes(F.col("v"), 4), "abc").alias("t")).first().t == "aac"
     assert decode.beam_decode(df, "id", "v", 4, "abc").first().text == "aac"
+
+
+def test_split_words_on_blank_and_single(spark):
+    one = lambda v: [tuple(b) for b in value(spark, lambda c: text.split_words(c, F.lit(10.0), F.lit(60.0)), v)]
+    assert one(" ") == [] and one(" abc ") == [("abc", 10.0, 60.0)] and one("ab  cdef") == [("ab", 10.0, 20.0), ("cdef", 30.0, 40.0)]
+
+
+def test_recognised_files_and_stream_agree(spark, tmp_path):
+    def _reader():
+        def read(content):
+            return [(i, line) for i, line in enumerate(content.decode("utf-8").splitlines())]
+
+        return read
+
+    for i, content in enumerate([b"first\nsecond", b"", b"\xff"]):
+        (tmp_path / f"{i}.bin").write_bytes(content)
+    rows = [(r.path[-5], r.line, r.text, bool(r.error)) for r in files.in_order(tables_source.recognised_files(spark, str(tmp_path), _reader, "line int, text string"), "path", "line")]
+    assert rows == [("0", 0, "first", False), ("0", 1, "second", False), ("2", None, None, True)]
+    stream = files.recognised_stream(spark, str(tmp_path), _reader, "line int, text string", files_per_batch=1)
+    run = stream.writeStream.format("memory").queryName("lines").trigger(availableNow=True).start()
+    assert run.awaitTermination(120)
+    assert [(r.path[-5], r.line, r.text, bool(r.error)) for r in files.in_order(spark.table("lines"), "path", "line")] == rows

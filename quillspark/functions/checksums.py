@@ -41,6 +41,32 @@ def is_iban_for_correction(text: Column) -> Column:
     return _iban(F.upper(F.regexp_replace(text, r"(?U)\s", "")))
 
 
+#: What recognition takes a character of an IBAN for (1 also for L).
+LOOK_ALIKE, TAKEN_FOR = "0O1IL2Z5S6G8B9QUV", "O0I11Z2S5G6B8Q9VU"
+
+
+def _grouped(compact: Column) -> Column:
+    return F.trim(F.regexp_replace(compact, "(.{4})", "$1 "))
+
+
+def normalize_iban(text: Column, grouped: bool = False) -> Column:
+    """(status, value): ``valid`` as it stands, ``fixed`` (rewritten, or one look-alike exchanged, the leftmost that
+    passes), ``invalid`` (the trimmed text), or null for a text that is not shaped like an IBAN."""
+    trimmed = F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    compact = F.upper(F.regexp_replace(trimmed, r"(?U)\s", ""))
+    claimed = F.length(compact).between(15, 34) & compact.rlike("^[A-Z0125689]{2}[0-9OQDIZSGTB]{2}[A-Z0-9]+$")
+
+    def exchanged(c: Column, i: Column) -> Column:
+        others = F.filter(F.array(F.translate(c, LOOK_ALIKE, TAKEN_FOR), F.when(c == "1", F.lit("L"))), lambda o: o != c)
+        return F.transform(others, lambda o: F.concat(F.substring(compact, F.lit(1), i), o, F.substring(compact, i + 2, F.lit(40))))
+
+    repaired = F.get(F.filter(F.flatten(F.transform(chars(compact), exchanged)), _iban), F.lit(0))
+    right = F.when(_iban(compact), compact).otherwise(repaired)
+    value = _grouped(right) if grouped else right
+    status = F.when(value.isNull(), "invalid").when(value == trimmed, "valid").otherwise("fixed")
+    return F.when(claimed, F.struct(status.alias("status"), F.coalesce(value, trimmed).alias("value")))
+
+
 def is_ssn(text: Column) -> Column:
     """US social security number: dashed, spaced or compact, from an issued range."""
     return text.rlike(r"^(?!000|666|9)[0-9]{3}([- ]?)(?!00)[0-9]{2}\1(?!0000)[0-9]{4}$")

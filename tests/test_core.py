@@ -47,6 +47,18 @@ def test_iban(spark, iban, redaction, correction):
     assert value(spark, checksums.is_iban_for_redaction, iban) is redaction and value(spark, checksums.is_iban_for_correction, iban) is correction
 
 
+@pytest.mark.parametrize(
+    "iban, result",
+    [
+        ("GB82WEST12345698765432", ("valid", "GB82WEST12345698765432")), (" gb82 west 1234 5698 7654 32", ("fixed", "GB82WEST12345698765432")), ("GB82WE5T12345698765432", ("fixed", "GB82WEST12345698765432")),
+        ("DE8937O400440532013000", ("fixed", "DE89370400440532013000")), ("GB82WEST12345698765433", ("invalid", "GB82WEST12345698765433")), ("some long ordinary text", None), ("", None), (None, None),
+    ],
+)
+def test_iban_repair(spark, iban, result):
+    got = value(spark, checksums.normalize_iban, iban)
+    assert (got and tuple(got)) == result
+
+
 @pytest.mark.parametrize("field, digit", [("L898902C3", 6), ("740812", 2), ("120415", 9), ("ZE184226B<<<<<", 1), ("", 0), ("AB!", -1)])
 def test_mrz(spark, field, digit):
     assert value(spark, checksums.mrz_check_digit, field) == digit

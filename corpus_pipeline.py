@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from quillspark.llm.best_fit import best_fit_packing
 from quillspark.llm.common import SPACE_CLASS, materialise, table, text_or_empty
 from quillspark.llm.exact_dedup import exact_dedup
-from quillspark.llm.jaccard_join import similar_classes
+from quillspark.llm.jaccard_join import row_key, survivors
 from quillspark.llm.secrets import mask_secrets, scan_secrets
 from quillspark.llm.toxicity import filter_toxic, fit
 
@@ -33,9 +33,11 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by a similarity of 0.8 or more over shingles of five words, the smallest id stays."""
-    linked = similar_classes(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__qs_id")).distinct()
-    return docs.join(materialise(linked, "kept"), F.col("doc_id").eqNullSafe(F.col("__qs_id")), "left_semi").select(*docs.columns)
+    """Of documents linked by a similarity of 0.8 or more over shingles of five words, the smallest id stays; of null or repeated ids, one row."""
+    kept = materialise(survivors(docs).select(F.col("row").alias("__qs_key"), F.col("alone").alias("__qs_alone")), "kept")
+    stay = docs.withColumn("__qs_key", row_key()).join(kept, "__qs_key")
+    one = Window.partitionBy("__qs_key").orderBy("__qs_key")
+    return stay.withColumn("__qs_row", F.row_number().over(one)).filter("__qs_row = 1 or __qs_alone").select(*docs.columns)
 
 
 def mask_found_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

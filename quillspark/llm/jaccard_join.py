@@ -16,8 +16,8 @@ needs no decision. Components of the links come from joins (``components``).
 
 Defined results: null or empty text has an empty set, size 0, and is its own component; fewer words than a
 shingle has make one shingle of the whole; repeated rows are of one class. A null id is a member like
-any other, and a component of null ids alone has a null id. Other columns are ignored. An empty table
-gives an empty result.
+any other: texts are fetched by a digest of id and text, which every row has. A component of null ids alone
+has a null id. Other columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ from math import ceil
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialise, table
@@ -138,7 +138,7 @@ def _common_members(docs: DataFrame, words: int) -> np.ndarray:
 
 
 def _describe(docs: DataFrame, words: int, threshold: Fraction, common: np.ndarray) -> DataFrame:
-    """(id, n, print, prefix, bits) for each row; ``bits`` are bitmaps by size class: the set's own, and the next where it can link to that."""
+    """(id, row, n, print, prefix, bits) for each row; ``bits`` are bitmaps by size class: the set's own, and the next where it can link to that."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -155,11 +155,11 @@ def _describe(docs: DataFrame, words: int, threshold: Fraction, common: np.ndarr
                     bits.append([{"cls": k, "map": bitmap(s, k).tobytes()} for k in ([c, c + 1] if reaches_up(len(s), threshold) else [c])])
                 offsets = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(prefixes), pa.int64())), pa.array(bits, pa.list_(pa.struct([("cls", pa.int32()), ("map", pa.binary())])))],
-                    ["id", "n", "print", "prefix", "bits"],
+                    [part.column(0), part.column(2), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(prefixes), pa.int64())), pa.array(bits, pa.list_(pa.struct([("cls", pa.int32()), ("map", pa.binary())])))],
+                    ["id", "row", "n", "print", "prefix", "bits"],
                 )
 
-    return docs.select("_id", "_text").mapInArrow(run, "id long, n long, print binary, prefix array<long>, bits array<struct<cls:int,map:binary>>")
+    return docs.select("_id", "_text", "_row").mapInArrow(run, "id long, row binary, n long, print binary, prefix array<long>, bits array<struct<cls:int,map:binary>>")
 
 
 def _find(parent: list[int], x: int) -> int:
@@ -303,16 +303,25 @@ def _block_pairs(rows: DataFrame, count: str, block: int, copies=None) -> DataFr
     return rows.withColumn("i", F.least("_own", "_other")).withColumn("j", F.greatest("_own", "_other")).drop("_own", "_other")
 
 
-def similar_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, threshold: Fraction | float = 0.8) -> DataFrame:
-    """One row per input row: ``key``, n_shingles, class_id (least id with the same set), component_id (least id reachable by links)."""
+def row_key(key: str = "doc_id", text: str = "text") -> Column:
+    """A digest of id and text, nulls told apart: rows that share it agree in both."""
+    t = F.col(text).cast("string")
+    return F.unhex(F.sha2(F.concat(F.coalesce(F.col(key).cast("long").cast("string"), F.lit("")), F.when(t.isNull(), F.lit("-")).otherwise(F.lit("+")), F.coalesce(t, F.lit(""))), 256))
+
+
+def _linked(docs: DataFrame, key: str, text: str, words: int, threshold: Fraction | float) -> DataFrame:
+    """(id, row, n, class_id, component_id) of each row; the last two are null where the set is empty."""
     t = threshold if isinstance(threshold, Fraction) else Fraction(threshold).limit_denominator(1000)
-    base = docs.select(F.col(key).cast("long").alias("_id"), F.col(text).cast("string").alias("_text"))
+    base = docs.select(F.col(key).cast("long").alias("_id"), F.col(text).cast("string").alias("_text"), row_key(key, text).alias("_row"))
     common = _common_members(base, words)
     rows = materialise(_describe(base, words, t, common), "sets")
     filled = rows.filter("n > 0")
     no_id = F.lit(NO_ID) + F.shiftrightunsigned(F.xxhash64("print"), 2)
     classes = materialise(
-        filled.groupBy("print", "n").agg(F.min("id").alias("least"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits")).select("print", "n", F.coalesce("least", no_id).alias("id"), "prefix", "bits"), "classes"
+        filled.groupBy("print", "n")
+        .agg(F.min(F.struct(F.col("id").isNull(), "id", "row")).alias("least"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits"))
+        .select("print", "n", F.coalesce("least.id", no_id).alias("id"), "least.row", "prefix", "bits"),
+        "classes",
     )
 
     posts = classes.select(F.explode("prefix").alias("token"), "id", "n")
@@ -341,9 +350,9 @@ def similar_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
                 sets = [shingle_set(x, words) for x in part.column(3).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "comp", "size", "n", "members"])
 
-    # a class is represented by the row with its id; repeated rows of that id have one set if their texts agree, so the print decides
-    wanted = members.join(classes.select("id", "print"), "id")
-    texts = base.join(wanted.select("id", "comp", "size"), base["_id"] == wanted["id"]).select("id", "comp", "size", "_text")
+    # a class is represented by one text: rows of its key agree in it, and repeated ones go
+    wanted = members.join(classes.select("id", "row"), "id")
+    texts = base.join(wanted, base["_row"] == wanted["row"]).select("id", "comp", "size", "row", "_text").dropDuplicates(["id", "row"]).select("id", "comp", "size", "_text")
     sets = texts.mapInArrow(fetch, "id long, comp long, size long, n long, members binary")
     blocked = _block_pairs(sets, "size", BLOCK).repartition(parts, "comp", "i", "j").sortWithinPartitions("comp", "i", "j", "n", "id")
     links = blocked.mapInArrow(_decide(t), "a long, b long")
@@ -353,9 +362,14 @@ def similar_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
         F.col("print").alias("p"), F.col("n").alias("m"), "class_id", F.coalesce("component_id", "class_id").alias("component_id")
     )
     named = materialise(named, "named")
-    real = lambda c: F.when(F.col(c) < NO_ID, F.col(c))
     joined = rows.join(named, (F.col("print") == F.col("p")) & (F.col("n") == F.col("m")), "left")
-    return joined.select(
+    return joined.select("id", "row", "n", "class_id", "component_id")
+
+
+def similar_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, threshold: Fraction | float = 0.8) -> DataFrame:
+    """One row per input row: ``key``, n_shingles, class_id (least id with the same set), component_id (least id reachable by links)."""
+    real = lambda c: F.when(F.col(c) < NO_ID, F.col(c))
+    return _linked(docs, key, text, words, threshold).select(
         F.col("id").alias(key),
         F.col("n").alias("n_shingles"),
         F.when(F.col("n") == 0, F.col("id")).otherwise(real("class_id")).alias("class_id"),
@@ -363,5 +377,12 @@ def similar_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     )
 
 
+def survivors(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, threshold: Fraction | float = 0.8) -> DataFrame:
+    """(row, alone): the ``row_key`` of the row of the least id (null last) of each component, and that of every empty text, which is ``alone``."""
+    linked = _linked(docs, key, text, words, threshold).withColumn("alone", F.col("n") == 0)
+    groups = linked.groupBy("component_id", "alone", F.when(F.col("alone"), F.col("row")).alias("own"))
+    return groups.agg(F.min(F.struct(F.col("id").isNull(), "id", "row")).alias("least")).select("least.row", "alone")
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_classes(table(spark, sf_dir, "documents"), words=3, threshold=Fraction(9, 10)).select("doc_id", "n_shingles", "component_id", "class_id")

@@ -317,6 +317,17 @@ def test_jaccard_odd(odd, none):
     assert by[6].component_id == 5 and by[2].component_id == by[None].component_id == 1
 
 
+def test_jaccard_links_texts_without_ids(spark):
+    w = [f"w{i}" for i in range(60)]
+    near = lambda *at: " ".join("x" if i in at else x for i, x in enumerate(w))
+    bridge = [(None, near(20)), (5, near()), (9, near(20, 40)), (None, "alone " * 30), (None, "a b c d e f g h"), (None, "a b c d e f g h i")]
+    docs = spark.createDataFrame([(d, t) for d, t in bridge] * 2, "doc_id long, text string")
+    comp = {(r.doc_id, r.n_shingles): r.component_id for r in jaccard_join.similar_classes(docs, words=3, threshold=Fraction(4, 5)).collect()}
+    assert comp == {(None, 58): 5, (5, 58): 5, (9, 58): 5, (None, 1): None, (None, 6): None, (None, 7): None}
+    kept = docs.withColumn("row", jaccard_join.row_key()).join(jaccard_join.survivors(docs, words=3, threshold=Fraction(4, 5)), "row").select("doc_id", "text").distinct().collect()
+    assert len(kept) == 3 and {r.doc_id for r in kept} == {5, None} and "alone " * 30 in {r.text for r in kept}
+
+
 def test_components(spark):
     rng = random.Random(2)
     links = [(i, i + 1) for i in range(0, 40)] + [(100, i) for i in range(101, 140)] + [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(40)]

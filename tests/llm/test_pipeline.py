@@ -23,3 +23,13 @@ def test_pipeline_packs_what_it_keeps(spark, sf_dir):
     docs = {r.doc_id for r in table(spark, sf_dir, "documents").select("doc_id").collect()}
     kept = {r.doc_id for r in rows}
     assert kept <= docs and len(kept) > 0.6 * len(docs)
+
+
+def test_near_copies_without_ids_go(spark, sf_dir):
+    w = [f"w{i}" for i in range(60)]
+    near = lambda *at: " ".join("x" if i in at else x for i, x in enumerate(w))
+    other = " ".join(f"y{i}" for i in range(60))
+    rows = [(None, near(20)), (5, near()), (9, near(20, 40)), (None, other), (None, other + " z"), (None, ""), (4, None)]
+    kept = cp.drop_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), sf_dir).collect()
+    texts = sorted(str(r.text) for r in kept if r.text)
+    assert len(kept) == 4 and near() in texts and len([t for t in texts if t.startswith(other)]) == 1

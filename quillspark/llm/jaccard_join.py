@@ -16,8 +16,8 @@ needs no decision. Components of the links come from joins (``components``).
 
 Defined results: null or empty text has an empty set, size 0, and is its own component; fewer words than a
 shingle has make one shingle of the whole; repeated rows are of one class. A null id is a member like
-any other: texts are fetched by a digest of id and text, which every row has. A component of null ids alone
-has a null id. Other columns are ignored. An empty table gives an empty result.
+any other, and every 64-bit id is allowed: classes go by numbers of their own, and texts are fetched by a
+digest of id and text. A component of null ids alone has a null id. Other columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -42,8 +42,6 @@ LEAST_BITS = 256
 COMMON = 2048
 SMALL_TILE = 64
 BLOCK = 256
-#: Ids of classes without an id start here; such an id is null in the result.
-NO_ID = 1 << 62
 
 
 class _WordHashes(dict):
@@ -310,17 +308,16 @@ def row_key(key: str = "doc_id", text: str = "text") -> Column:
 
 
 def _linked(docs: DataFrame, key: str, text: str, words: int, threshold: Fraction | float) -> DataFrame:
-    """(id, row, n, class_id, component_id) of each row; the last two are null where the set is empty."""
+    """(id, row, n, class_id, component_id, comp) of each row: the least ids of class and component, and the component's own number; all three are null where the set is empty."""
     t = threshold if isinstance(threshold, Fraction) else Fraction(threshold).limit_denominator(1000)
     base = docs.select(F.col(key).cast("long").alias("_id"), F.col(text).cast("string").alias("_text"), row_key(key, text).alias("_row"))
     common = _common_members(base, words)
     rows = materialise(_describe(base, words, t, common), "sets")
     filled = rows.filter("n > 0")
-    no_id = F.lit(NO_ID) + F.shiftrightunsigned(F.xxhash64("print"), 2)
     classes = materialise(
         filled.groupBy("print", "n")
         .agg(F.min(F.struct(F.col("id").isNull(), "id", "row")).alias("least"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits"))
-        .select("print", "n", F.coalesce("least.id", no_id).alias("id"), "least.row", "prefix", "bits"),
+        .select("print", "n", F.monotonically_increasing_id().alias("id"), F.col("least.id").alias("class_id"), "least.row", "prefix", "bits"),
         "classes",
     )
 
@@ -358,29 +355,31 @@ def _linked(docs: DataFrame, key: str, text: str, words: int, threshold: Fractio
     links = blocked.mapInArrow(_decide(t), "a long, b long")
     found = connected_components(links)
 
-    named = classes.select("print", "n", F.col("id").alias("class_id")).join(found.withColumnRenamed("comp", "component_id"), F.col("class_id") == F.col("id"), "left").select(
-        F.col("print").alias("p"), F.col("n").alias("m"), "class_id", F.coalesce("component_id", "class_id").alias("component_id")
+    # a component's id is the least that its classes have
+    of_comp = found.join(classes.select("id", "class_id"), "id").groupBy("comp").agg(F.min("class_id").alias("component_id"))
+    linked = found.join(of_comp, "comp").select(F.col("id").alias("_id"), "comp", "component_id")
+    named = classes.select("print", "n", "id", "class_id").join(linked, F.col("id") == F.col("_id"), "left").select(
+        F.col("print").alias("p"), F.col("n").alias("m"), "class_id", F.when(F.col("_id").isNull(), F.col("class_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("comp", "id").alias("comp")
     )
     named = materialise(named, "named")
     joined = rows.join(named, (F.col("print") == F.col("p")) & (F.col("n") == F.col("m")), "left")
-    return joined.select("id", "row", "n", "class_id", "component_id")
+    return joined.select("id", "row", "n", "class_id", "component_id", "comp")
 
 
 def similar_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, threshold: Fraction | float = 0.8) -> DataFrame:
     """One row per input row: ``key``, n_shingles, class_id (least id with the same set), component_id (least id reachable by links)."""
-    real = lambda c: F.when(F.col(c) < NO_ID, F.col(c))
     return _linked(docs, key, text, words, threshold).select(
         F.col("id").alias(key),
         F.col("n").alias("n_shingles"),
-        F.when(F.col("n") == 0, F.col("id")).otherwise(real("class_id")).alias("class_id"),
-        F.when(F.col("n") == 0, F.col("id")).otherwise(real("component_id")).alias("component_id"),
+        F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("class_id")).alias("class_id"),
+        F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id")).alias("component_id"),
     )
 
 
 def survivors(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, threshold: Fraction | float = 0.8) -> DataFrame:
     """(row, alone): the ``row_key`` of the row of the least id (null last) of each component, and that of every empty text, which is ``alone``."""
     linked = _linked(docs, key, text, words, threshold).withColumn("alone", F.col("n") == 0)
-    groups = linked.groupBy("component_id", "alone", F.when(F.col("alone"), F.col("row")).alias("own"))
+    groups = linked.groupBy("comp", "alone", F.when(F.col("alone"), F.col("row")).alias("own"))
     return groups.agg(F.min(F.struct(F.col("id").isNull(), "id", "row")).alias("least")).select("least.row", "alone")
 
 

@@ -328,6 +328,15 @@ def test_jaccard_links_texts_without_ids(spark):
     assert len(kept) == 3 and {r.doc_id for r in kept} == {5, None} and "alone " * 30 in {r.text for r in kept}
 
 
+def test_jaccard_takes_every_id(spark):
+    w = [f"w{i}" for i in range(60)]
+    near = lambda *at: " ".join("x" if i in at else x for i, x in enumerate(w))
+    top = 2**63 - 1
+    rows = [(top, "a b c d"), (2**62, near()), (top - 1, near(20)), (None, near(20, 40)), (-(2**63), "e f g h"), (7, "i j k l m"), (7, "n o p q r s")]
+    out = jaccard_join.similar_classes(spark.createDataFrame(rows, "doc_id long, text string"), words=3, threshold=Fraction(4, 5)).collect()
+    assert {(r.doc_id, r.n_shingles): r.component_id for r in out} == {(top, 2): top, (2**62, 58): 2**62, (top - 1, 58): 2**62, (None, 58): 2**62, (-(2**63), 2): -(2**63), (7, 3): 7, (7, 4): 7}
+
+
 def test_components(spark):
     rng = random.Random(2)
     links = [(i, i + 1) for i in range(0, 40)] + [(100, i) for i in range(101, 140)] + [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(40)]

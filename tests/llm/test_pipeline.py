@@ -33,3 +33,11 @@ def test_near_copies_without_ids_go(spark, sf_dir):
     kept = cp.drop_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), sf_dir).collect()
     texts = sorted(str(r.text) for r in kept if r.text)
     assert len(kept) == 4 and near() in texts and len([t for t in texts if t.startswith(other)]) == 1
+
+
+def test_high_and_repeated_ids_stay(spark, sf_dir):
+    w = [f"w{i}" for i in range(60)]
+    near = lambda *at: " ".join("x" if i in at else x for i, x in enumerate(w))
+    rows = [(5, near()), (9, near(20)), (9, "another text under an id that has gone"), (2**62, "a b c d e f g"), (2**63 - 1, "h i j k l m n")]
+    kept = cp.drop_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), sf_dir).collect()
+    assert sorted(r.doc_id for r in kept) == [5, 9, 2**62, 2**63 - 1] and near(20) not in {r.text for r in kept}

@@ -219,6 +219,17 @@ _VALID = {"email": _valid_email, "iban": _valid_iban, "ip": _valid_ip, "date": _
 _NEW = {"email": _new_email, "iban": _new_iban, "ip": _new_ip, "date": _new_date, "ssn": _new_ssn, "card": _new_card, "phone": _new_phone}
 
 
+def _inside(m: Column) -> Column:
+    """The longest, then leftmost, valid IBAN or card between separators of ``m`` as (size, before, kind, value), ``before`` being minus what precedes it; null if none."""
+    sep = lambda i: F.substring(m, i, F.lit(1)).isin("", " ", "-")
+    at = F.filter(F.sequence(F.lit(1), F.length(m)), lambda i: ~sep(i))
+    starts, ends = F.filter(at, lambda i: (i == 1) | sep(i - 1)), F.filter(at, lambda i: sep(i + 1))
+    spans = F.flatten(F.transform(starts, lambda a: F.transform(F.filter(ends, lambda e: e - a >= 12), lambda e: F.struct((a - 1).alias("before"), F.substring(m, a, e - a + 1).alias("value")))))
+    kind = lambda v: F.when(_valid_iban(v), F.lit("iban")).when(_valid_card(v), F.lit("card")).otherwise(F.lit(""))
+    tried = F.transform(spans, lambda x: F.struct(F.length(x["value"]).alias("size"), (-x["before"]).alias("before"), kind(x["value"]).alias("kind"), x["value"].alias("value")))
+    return F.when(m.rlike("^[A-Z0-9][A-Z0-9 -]{12,}$") & m.rlike("[ -]"), F.array_max(F.filter(tried, lambda x: x["kind"] != "")))
+
+
 def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """``docs`` with ``text`` rewritten and ``pii``: an array of (kind, start, end, value, pseudonym), offsets in code points of the original."""
     body = text_or_empty(text)
@@ -226,22 +237,31 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
 
     def one(m: Column) -> Column:
         kind = F.coalesce(*(F.when(_VALID[k](m), F.lit(k)) for k in KINDS), F.lit(""))
-        return F.struct(kind.alias("kind"), m.alias("value"))
+
+        def parts(x: Column) -> Column:
+            """What precedes the value in the match, and what follows: other words that the expression took with a number."""
+            first = -x["in"]["before"]
+            found = lambda k, v, a, b: F.struct(k.alias("kind"), v.alias("value"), a.alias("pre"), b.alias("post"))
+            inner = found(x["in"]["kind"], x["in"]["value"], F.substring(m, F.lit(1), first), F.substring(m, first + x["in"]["size"] + 1, F.length(m)))
+            return F.when(x["in"].isNotNull(), inner).otherwise(found(x["kind"], m, F.lit(""), F.lit("")))
+
+        return bind(bind(kind, lambda k: F.struct(k.alias("kind"), F.when(k == "", _inside(m)).alias("in"))), parts)
 
     def renamed(x: Column) -> Column:
         new = x["value"]
         for k in reversed(KINDS):
             new = F.when(x["kind"] == k, _NEW[k](x["value"], key)).otherwise(new)
-        return F.struct(x["kind"].alias("kind"), x["value"].alias("value"), new.alias("pseudonym"))
+        return F.struct(x["kind"].alias("kind"), x["value"].alias("value"), new.alias("pseudonym"), x["pre"].alias("pre"), x["post"].alias("post"))
 
-    empty = F.array().cast("array<struct<kind:string,value:string,pseudonym:string>>")
+    empty = F.array().cast("array<struct<kind:string,value:string,pseudonym:string,pre:string,post:string>>")
     hit = body.rlike("[0-9@]") & body.rlike(PATTERN)  # every alternative needs a digit or an at sign
     rows = docs.withColumn("__qs_hit", F.when(hit, F.transform(F.transform(found, one), renamed)).otherwise(empty)).withColumn("__qs_gap", F.when(hit, F.split(body, PATTERN, -1)).otherwise(F.array(body)))
-    pieces = F.zip_with("__qs_gap", "__qs_hit", lambda g, h: F.concat(g, F.coalesce(h["pseudonym"], F.lit(""))))
+    pieces = F.zip_with("__qs_gap", "__qs_hit", lambda g, h: F.concat(g, F.coalesce(F.concat(h["pre"], h["pseudonym"], h["post"]), F.lit(""))))
     gaps = F.slice("__qs_gap", F.lit(1), F.size("__qs_hit"))
-    ends = running(F.zip_with(gaps, F.col("__qs_hit"), lambda g, h: F.length(g) + F.length(h["value"])), lambda a, b: a + b)
+    ends = running(F.zip_with(gaps, F.col("__qs_hit"), lambda g, h: F.length(g) + F.length(h["pre"]) + F.length(h["value"]) + F.length(h["post"])), lambda a, b: a + b)
 
-    def span(h: Column, end: Column) -> Column:
+    def span(h: Column, behind: Column) -> Column:
+        end = behind - F.length(h["post"])
         return F.struct(h["kind"].alias("kind"), (end - F.length(h["value"])).alias("start"), end.alias("end"), h["value"].alias("value"), h["pseudonym"].alias("pseudonym"))
 
     spans = F.filter(F.zip_with("__qs_hit", ends, span), lambda s: s["kind"] != "")

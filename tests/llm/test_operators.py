@@ -200,6 +200,20 @@ def test_pseudonyms(spark, odd, none):
     assert done.count() == 10 and done.filter("text is null").count() == 1 and pii.pseudonymise(none, "k").count() == 0
 
 
+def test_numbers_that_other_words_follow_or_precede(spark):
+    card, iban = "4111 1111 1111 1111", "BE68 5390 0754 7034"
+    texts = [f"é {card} 12/27 x", "4111111111111111 123", "3782-822463-10005-1234", f"room 9 {card}.", f"{iban} BIC", f"to BE68539007547034 BIC X, {card}", f"AB12 {card}", "1234 5678 9012 3456 78"]
+    want = [["card"], ["card"], ["card"], ["card"], ["iban"], ["iban", "card"], ["card"], []]
+    values = [[card], ["4111111111111111"], ["3782-822463-10005"], [card], [iban], ["BE68539007547034", card], [card], []]
+    out = pii.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k").orderBy("doc_id").collect()
+    assert [[x.kind for x in r.pii] for r in out] == want and [[x.value for x in r.pii] for r in out] == values
+    for r, t in zip(out, texts):
+        for x in r.pii:
+            assert t[x.start : x.end] == x.value != x.pseudonym and r.text[x.start : x.end] == x.pseudonym
+        masked = [t] if not r.pii else [t[: r.pii[0].start], t[r.pii[-1].end :]]
+        assert r.text.startswith(masked[0]) and r.text.endswith(masked[-1])
+
+
 # --- quality ---------------------------------------------------------------------------------------------
 
 

@@ -3,8 +3,8 @@
 A configuration is a multiset of piece lengths that fits one sequence. The program (as few sequences as
 cover the length histogram) is solved by multiplicative weights: each round prices the lengths, finds
 the configurations of the largest value by knapsack dynamic programming over the capacity, takes a share of each, and
-lowers the prices of what they cover too often. The fractional solution is rounded down; what is left over is
-packed best fit first, longest lengths first, also on the histogram. All of this sees at most
+lowers the prices of what they cover too often. The fractional solution is rounded by largest remainder and the
+program solved again for what is left; the last rest is packed best fit first, longest lengths first, also on the histogram. All of this sees at most
 ``capacity`` counts, whatever the number of documents, so it runs on the driver.
 
 Pieces meet their places without the driver: a piece's rank among those of its length comes from counts
@@ -34,6 +34,8 @@ from .common import materialise, table
 CAPACITY = 2048
 END_ID = 0
 ROUNDS = 40
+#: How often the program is solved for what is left over, and the rounds of each solution after the first.
+SOLUTIONS, AGAIN = 24, 8
 STEP = 0.1
 #: A configuration of the rounded solution leaves at most so many places free; others go to the best fit.
 SPARE = 1
@@ -144,18 +146,36 @@ def best_fit_rest(left: dict[int, int], capacity: int) -> Counter:
     return out
 
 
+def by_program(histogram: dict[int, int], capacity: int, rounds: int = ROUNDS) -> tuple[list[tuple[tuple[int, ...], int]], dict[int, int]]:
+    """(configuration, number of sequences) that the program decides, and the counts that are left over.
+
+    A fractional solution covers part of the histogram only, so the program is solved again for what is left. Each solution is
+    rounded down, and then up, the largest remainders first, as far as pieces are left.
+    """
+    left = {k: v for k, v in histogram.items() if v}
+    out = []
+    for solved in range(SOLUTIONS):
+        found = [(c, t) for c, t in fractional(left, capacity, rounds if not solved else AGAIN) if sum(k * n for k, n in c.items()) >= capacity - SPARE]
+        before = len(out)
+        for up in (0, 1):
+            for config, times in sorted(found, key=lambda x: (-(x[1] % 1 if up else x[1]), sorted(x[0].items()))):
+                n = min([up or int(times + 1e-9), *(left[k] // c for k, c in config.items())])
+                if n > 0:
+                    out.append((tuple(k for k, c in config.items() for _ in range(c)), n))
+                    for k, c in config.items():
+                        left[k] -= c * n
+        left = {k: v for k, v in left.items() if v}
+        if len(out) == before:
+            break
+    return out, left
+
+
 def plan(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> list[tuple[tuple[int, ...], int]]:
     """(configuration, number of sequences) for every piece of the histogram."""
     whole = {k: v for k, v in histogram.items() if k < capacity}
     out = [((capacity,), histogram[capacity])] if histogram.get(capacity) else []
-    left = dict(whole)
-    for config, times in sorted(fractional(whole, capacity, rounds), key=lambda x: (-sum(k * n for k, n in x[0].items()), -x[1])):
-        n = min([int(times + 1e-9), *(left[k] // c for k, c in config.items())])
-        if n > 0 and sum(k * c for k, c in config.items()) >= capacity - SPARE:
-            out.append((tuple(k for k, c in config.items() for _ in range(c)), n))
-            for k, c in config.items():
-                left[k] -= c * n
-    return out + list(best_fit_rest(left, capacity).items())
+    decided, rest = by_program(whole, capacity, rounds)
+    return out + decided + list(best_fit_rest(rest, capacity).items())
 
 
 def slots(planned: list[tuple[tuple[int, ...], int]]) -> dict[str, np.ndarray]:

@@ -158,6 +158,18 @@ def test_plan_covers_the_histogram(seed):
     assert sum(t for _, t in planned) <= 1.01 * sum(k * v for k, v in histogram.items()) / 200 + 1
 
 
+def test_the_program_decides_most_sequences():
+    rng = random.Random(7)
+    histogram = dict(collections.Counter(min(199, max(1, int(rng.lognormvariate(3.5, 0.9)))) for _ in range(3000)))
+    decided, rest = best_fit.by_program(histogram, 200)
+    got = collections.Counter(rest)
+    for config, times in decided:
+        for n in config:
+            got[n] += times
+    assert got == histogram and all(200 - best_fit.SPARE <= sum(c) <= 200 for c, _ in decided)
+    assert sum(sum(c) * t for c, t in decided) >= 0.8 * sum(k * v for k, v in histogram.items())
+
+
 # --- personal data ---------------------------------------------------------------------------------------
 
 

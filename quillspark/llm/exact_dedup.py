@@ -1,13 +1,15 @@
 """Exact duplicate removal by deterministic block naming.
 
 A text without ASCII white space is cut into blocks of fixed size. The distinct blocks are sorted and
-given integer names; then adjacent names are paired and the distinct pairs are named again, level by
-level, until one name is left for each document. A name stands for one value only, so two documents get
-the same (level, name) exactly when their texts are equal: nothing rests on a hash being free of
-collisions. Fingerprints of blocks only carry the join of level 0; should two different blocks ever
-share one, that level joins on the blocks themselves.
-
-Only DataFrame functions are used. A block that a third of all documents share is collapsed before the
+named by their places in the order; then adjacent names are paired and the distinct pairs are named again,
+level by level, until one name is left for each document. A name stands for one value only, so two documents
+get the same (level, name) exactly when their texts are equal: nothing rests on a hash being free of
+collisions. Blocks are ordered by their fingerprints, which spread evenly over ranges of the order whatever the
+texts begin with; should two different blocks ever share one, level 0 orders and joins by the blocks themselves.
+Names are ranks, so they don't depend on how the tables are partitioned (``named``).
+
+Only DataFrame functions are used. Texts are read, normalised and cut once, into a written table that numbers the
+rows; all else derives from that table. A block that a third of all documents share is collapsed before the
 shuffle that names it (partial aggregation), and names reach the rows through joins of written tables,
 whose skewed partitions adaptive execution splits.
 
@@ -18,7 +20,7 @@ one row of a group is kept. An empty table gives an empty result. Other columns
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import SPACE_CLASS, materialise, table, text_or_empty
@@ -36,40 +38,48 @@ def _blocks(raw: Column, block_bytes: int) -> Column:
     return F.transform(F.sequence(F.lit(0), last), lambda i: F.substring(raw, i * block_bytes + 1, F.lit(block_bytes)))
 
 
+def named(values: DataFrame, order: list[str]) -> DataFrame:
+    """Distinct rows with ``name``, their rank (from 0) in the order of the columns ``order``.
+
+    The rows are dealt by ranges and sorted there; a range's ranks begin behind the rows of the ranges before it.
+    """
+    dealt = values.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    dealt = materialise(dealt, "dedup-names").withColumn("_range", F.shiftright("_at", 33))
+    # a row for each partition: few, whatever the rows
+    sizes = dealt.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    firsts = sizes.select("_range", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_first"))
+    within = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    return dealt.join(firsts, "_range").withColumn("name", F.col("_first") + within).drop("_range", "_at", "_first")
+
+
 def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES, fingerprint=_fingerprint) -> DataFrame:
-    """One row per input row: ``key``, keep_id, group_size, kept, text_sha256, level, name."""
+    """One row per input row: ``key``, keep_id, group_size, kept, text_sha256."""
     norm = F.regexp_replace(text_or_empty(text), SPACE_CLASS + "+", "")
     source = docs.select(F.col(key).alias("_id"), F.length(text_or_empty(text)).cast("long").alias("n_chars"), norm.alias("norm"))
-
-    heads = materialise(
+    cut = materialise(
         source.withColumn("blocks", _blocks(F.col("norm").cast("binary"), block_bytes)).select(
             F.monotonically_increasing_id().alias("rid"),
             "_id",
             "n_chars",
             F.sha2(F.col("norm"), 256).alias("sha"),
             F.transform("blocks", lambda b: F.struct(*(h.alias(n) for h, n in zip(fingerprint(b), ("h1", "h2"))))).alias("prints"),
+            "blocks",
         ),
-        "dedup-heads",
+        "dedup-rows",
     )
 
-    distinct = (
-        source.select(F.explode(_blocks(F.col("norm").cast("binary"), block_bytes)).alias("block"))
-        .select(*(h.alias(n) for h, n in zip(fingerprint(F.col("block")), ("h1", "h2"))), "block")
-        .groupBy("h1", "h2", "block")
-        .agg(F.lit(0).alias("_"))
-        .sortWithinPartitions("block")
-        .select("h1", "h2", F.monotonically_increasing_id().alias("name"), "block")
-    )
-    names = materialise(distinct.drop("block"), "dedup-names")
-    clash = names.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    pairs = cut.select(F.explode(F.arrays_zip("prints", "blocks")).alias("z")).select("z.prints.h1", "z.prints.h2", F.col("z.blocks").alias("block"))
+    distinct = materialise(pairs.groupBy("h1", "h2", "block").agg(F.lit(0).alias("_")).select("h1", "h2"), "dedup-blocks")
+    clash = distinct.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    number = [F.col("rid"), F.size("prints").cast("long").alias("n")]
     if clash.limit(1).count() == 0:
-        rows = heads.select("rid", F.size("prints").cast("long").alias("n"), F.posexplode("prints").alias("pos", "p")).select("rid", "n", F.col("pos").cast("long").alias("pos"), "p.h1", "p.h2")
+        names = named(distinct, ["h1", "h2"])
+        rows = cut.select(*number, F.posexplode("prints").alias("pos", "p")).select("rid", "n", F.col("pos").cast("long").alias("pos"), "p.h1", "p.h2")
         on = ["h1", "h2"]
     else:
         # the fingerprints are not injective here: rows carry their blocks
-        names = materialise(distinct, "dedup-names")
-        cut = docs.select(norm.alias("norm")).select(F.monotonically_increasing_id().alias("rid"), _blocks(F.col("norm").cast("binary"), block_bytes).alias("blocks"))
-        rows = materialise(cut.select("rid", F.size("blocks").cast("long").alias("n"), F.posexplode("blocks").alias("pos", "block")).select("rid", "n", F.col("pos").cast("long").alias("pos"), "block"), "dedup-rows")
+        names = named(pairs.distinct(), ["h1", "h2", "block"]).select("block", "name")
+        rows = cut.select(*number, F.posexplode("blocks").alias("pos", "block")).select("rid", "n", F.col("pos").cast("long").alias("pos"), "block")
         on = ["block"]
     current = materialise(rows.join(names, on).select("rid", "n", "pos", "name"), "dedup-level")
 
@@ -79,19 +89,19 @@ def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", block_
         open_rows = current.filter("n > 1")
         if open_rows.limit(1).count() == 0:
             break
-        pairs = (
+        halves = (
             open_rows.groupBy("rid", F.expr("(n + 1) div 2").alias("n"), F.expr("pos div 2").alias("pos"))
             .agg(F.max(F.when(F.col("pos") % 2 == 0, F.col("name"))).alias("left"), F.coalesce(F.max(F.when(F.col("pos") % 2 == 1, F.col("name"))), F.lit(-1)).alias("right"))
         )
-        pairs = materialise(pairs, "dedup-pairs")
-        names = materialise(pairs.select("left", "right").distinct().sortWithinPartitions("left", "right").withColumn("name", F.monotonically_increasing_id()), "dedup-names")
-        current = materialise(pairs.join(names, ["left", "right"]).select("rid", "n", "pos", "name"), "dedup-level")
+        halves = materialise(halves, "dedup-pairs")
+        names = named(halves.select("left", "right").distinct(), ["left", "right"])
+        current = materialise(halves.join(names, ["left", "right"]).select("rid", "n", "pos", "name"), "dedup-level")
         level += 1
 
     identity = done[0]
     for more in done[1:]:
         identity = identity.unionByName(more)
-    ids = materialise(heads.drop("prints").join(identity, "rid"), "dedup-ids")
+    ids = materialise(cut.drop("prints", "blocks").join(identity, "rid"), "dedup-ids")
     best = F.min(F.struct((-F.col("n_chars")).alias("c"), F.col("_id").isNull().alias("z"), F.col("_id").alias("i"), F.col("rid").alias("r")))
     groups = materialise(ids.groupBy("level", "name").agg(best.alias("best"), F.count(F.lit(1)).alias("group_size")), "dedup-groups")
     return ids.join(groups, ["level", "name"]).select(

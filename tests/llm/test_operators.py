@@ -56,6 +56,29 @@ def test_dedup_with_clashing_fingerprints(odd):
     assert sorted(map(str, weak.collect())) == sorted(map(str, strong.collect()))
 
 
+def test_dedup_with_clashing_fingerprints_on_a_shuffled_table(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = docs.unionAll(docs).repartition(4)
+    weak = exact_dedup.exact_dedup(docs, block_bytes=8192, fingerprint=lambda b: (F.octet_length(b).cast("long"), F.lit(0).cast("long")))
+    strong = exact_dedup.exact_dedup(docs)
+    assert sorted(map(str, weak.collect())) == sorted(map(str, strong.collect()))
+
+
+def test_names_do_not_depend_on_partitions(spark):
+    values = [(i * 7919 % 1009, i % 5) for i in range(1009)]
+    want = {v: i for i, v in enumerate(sorted(values))}
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for n in (3, 7):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            rows = exact_dedup.named(spark.createDataFrame(values, "h1 long, h2 long").repartition(n), ["h1", "h2"]).collect()
+            assert {(r.h1, r.h2): r.name for r in rows} == want
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 # --- toxicity --------------------------------------------------------------------------------------------
 
 

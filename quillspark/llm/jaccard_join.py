@@ -1,23 +1,32 @@
-"""Similarity join on word shingles by Jaccard similarity, exact.
-
-A document's set holds 64-bit hashes of its distinct word shingles. Documents with equal sets form a
-class and go on as one. Two sets whose similarity reaches the threshold share one of the first
-``n - ceil(threshold * n) + 1`` members of either, in any order that is the same for all sets; here the
-order is by hash, with members that very many documents have last, so that common passages make no tiles.
-
-The classes that share such a member form a tile; tiles with the same least class are one. A tile of many classes is cut by bands of set size, each twice the one below (a
-set that can link to one of the next band is in both), and then into blocks, and each pair of
-blocks is a task's work, so no tile is gathered in one place. In a tile a hashed bitmap of each set
-bounds the overlap from above: a bit that one set has and the other lacks stands for a member that is not
-shared. Pairs that the bound lets pass join their classes to candidate components; within these the
-sets themselves are fetched, and pairs are decided by intersecting the sorted arrays, again in pairs of
-blocks. Every link lies within a candidate component, so none is lost; a pair that is already connected
-needs no decision. Components of the links come from joins (``components``).
+"""Similarity join on word shingles by Jaccard similarity.
+
+A document's set holds 64-bit hashes of its distinct word shingles; of these sets the result is exact. Documents with
+equal sets form a class and go on as one. Two sets whose similarity reaches the threshold share one of the first
+``n - ceil(threshold * n) + 1`` members of either, in any order that is the same for all sets; here members
+that very many documents have come last, the most frequent at the very end, and the others go by hash, so that common
+passages make no tiles.
+
+The classes that share such a member form a tile; tiles with the same least class are one. A tile of many classes is
+cut by bands of set size, each twice the one below (a set is in its own band and in every one that a set it can link
+to may be of). In a tile a hashed bitmap of each set bounds the overlap from above: a bit that one set has and the
+other lacks stands for a member that is not shared. Pairs that the bound lets pass join their classes to candidate
+components; within these the sets themselves are fetched, and pairs are decided by intersecting the sorted arrays.
+Every link lies within a candidate component, so none is lost; a pair that is already connected needs no decision.
+Components of the links come from joins (``components``).
+
+No group of classes, tile or component, is gathered in one place, and no group meets itself block by block. A large
+group is dealt into blocks (``_dealt``). First each block compares its own classes, and each with a few pivots that
+visit every block (``_at_home``). What this connects is contracted, and while much is left outside the group's
+largest component, the classes with the most links so far visit every block, and those left outside as many blocks as
+``MOVES`` allows (``_hubs``). At last all classes still outside visit all blocks (``_visits``): a pair within the
+largest component needs no decision, and any other pair has a class outside it. So the rows moved grow with the
+square only of what is not connected.
 
 Defined results: null or empty text has an empty set, size 0, and is its own component; fewer words than a
 shingle has make one shingle of the whole; repeated rows are of one class. A null id is a member like
-any other, and every 64-bit id is allowed: classes go by numbers of their own, and texts are fetched by a
-digest of id and text. A component of null ids alone has a null id. Other columns are ignored. An empty table gives an empty result.
+any other, and every id is allowed, numbers or strings: classes go by numbers of their own, and texts are fetched by a
+digest of id and text. A component of null ids alone has a null id. Other columns are ignored. An empty table gives an
+empty result. The threshold is above 0 and at most 1, or an error is raised.
 """
 
 from __future__ import annotations
@@ -30,7 +39,7 @@ from math import ceil
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import materialise, table
@@ -40,8 +49,16 @@ from .components import connected_components
 LEAST_BITS = 256
 #: A member that over one document in ``COMMON`` has is taken last in the order.
 COMMON = 2048
+#: So many of the most frequent members are ordered by their frequency; the list only orders, any list gives the same result.
+LISTED = 200_000
 SMALL_TILE = 64
-BLOCK = 256
+#: A block of a large group has about so many classes, or so many members in all of their sets.
+BLOCK, BLOCK_MEMBERS = 64, 2_000_000
+PIVOTS = 8
+#: A task of visits has a block and so many guests.
+GUESTS = 192
+#: Rounds of hubs at most, and only while the visits of all that is left would move over so many times a group's rows.
+ROUNDS, MOVES = 3, 3
 
 
 class _WordHashes(dict):
@@ -79,10 +96,9 @@ def size_class(n: int) -> int:
     return max(LEAST_BITS.bit_length() - 1, int(n).bit_length())
 
 
-def reaches_up(n: int, threshold: Fraction) -> bool:
-    """Whether a set of size n can link to one of the next size class."""
-    c = size_class(n)
-    return size_class(int(n / threshold)) > c
+def bands(n: int, threshold: Fraction) -> range:
+    """The size classes of the sets of size n or more that a set of size n can link to."""
+    return range(size_class(n), size_class(int(n / threshold)) + 1)
 
 
 def bitmap(members: np.ndarray, cls: int) -> np.ndarray:
@@ -101,10 +117,10 @@ def least_overlap(a, b, threshold: Fraction):
     return -((-(a + b) * p) // q)
 
 
-def _common_members(docs: DataFrame, words: int) -> np.ndarray:
-    """Hashes that more than one document in ``COMMON`` has, nearly: counted over all texts, in runs of documents of which a run reports what is common in it.
+def _common_members(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes that more than one document in ``COMMON`` has, nearly, and their frequencies: counted over all texts, in runs of documents of which a run reports what is common in it.
 
-    At most ``COMMON`` times the mean set size, whatever the number of documents. The list only orders the members; every
+    At most ``LISTED`` of them, the most frequent, whatever the number of documents. The list only orders the members; every
     list gives the same result.
     """
 
@@ -132,11 +148,24 @@ def _common_members(docs: DataFrame, words: int) -> np.ndarray:
     parts = docs.select(F.col("_text")).mapInArrow(run, "h long, n long, docs long")
     totals = materialise(parts.groupBy("h").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")), "common")
     rows = totals.agg(F.sum("docs").alias("docs")).collect()[0]["docs"] or 0
-    return np.sort(np.array([r["h"] for r in totals.filter(F.col("n") * COMMON >= rows).select("h").collect()], np.int64).view(np.uint64))
+    listed = totals.filter(F.col("n") * COMMON >= rows).orderBy(F.desc("n"), "h").limit(LISTED).select("h", "n").collect()
+    h, n = np.array([r["h"] for r in listed], np.int64).view(np.uint64), np.array([r["n"] for r in listed], np.int64)
+    order = np.argsort(h)
+    return h[order], n[order]
 
 
-def _describe(docs: DataFrame, words: int, threshold: Fraction, common: np.ndarray) -> DataFrame:
-    """(id, row, n, print, prefix, bits) for each row; ``bits`` are bitmaps by size class: the set's own, and the next where it can link to that."""
+def in_order(members: np.ndarray, common: np.ndarray, often: np.ndarray) -> np.ndarray:
+    """The members with the common ones last, the most frequent at the end."""
+    if not len(common) or not len(members):
+        return members
+    at = np.minimum(np.searchsorted(common, members), len(common) - 1)
+    late = common[at] == members
+    return np.concatenate([members[~late], members[late][np.argsort(often[at[late]], kind="stable")]])
+
+
+def _describe(docs: DataFrame, words: int, threshold: Fraction, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """(id, row, n, print, prefix, bits) for each row; ``bits`` are bitmaps by size class, one for each of the set's bands."""
+    id_type = docs.schema["_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -147,24 +176,15 @@ def _describe(docs: DataFrame, words: int, threshold: Fraction, common: np.ndarr
                     s = shingle_set(text, words)
                     sizes.append(len(s))
                     prints.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-                    late = np.isin(s, common, assume_unique=True) if len(common) else np.zeros(len(s), bool)
-                    prefixes.append(np.concatenate([s[~late], s[late]])[: prefix_size(len(s), threshold)].view(np.int64))
-                    c = size_class(len(s))
-                    bits.append([{"cls": k, "map": bitmap(s, k).tobytes()} for k in ([c, c + 1] if reaches_up(len(s), threshold) else [c])])
+                    prefixes.append(in_order(s, *common)[: prefix_size(len(s), threshold)].view(np.int64))
+                    bits.append([{"cls": k, "map": bitmap(s, k).tobytes()} for k in bands(len(s), threshold)])
                 offsets = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(2), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(prefixes), pa.int64())), pa.array(bits, pa.list_(pa.struct([("cls", pa.int32()), ("map", pa.binary())])))],
                     ["id", "row", "n", "print", "prefix", "bits"],
                 )
 
-    return docs.select("_id", "_text", "_row").mapInArrow(run, "id long, row binary, n long, print binary, prefix array<long>, bits array<struct<cls:int,map:binary>>")
-
-
-def _find(parent: list[int], x: int) -> int:
-    while parent[x] != x:
-        parent[x] = parent[parent[x]]
-        x = parent[x]
-    return x
+    return docs.select("_id", "_text", "_row").mapInArrow(run, f"id {id_type}, row binary, n long, print binary, prefix array<long>, bits array<struct<cls:int,map:binary>>")
 
 
 def _groups(keys: list[np.ndarray]) -> np.ndarray:
@@ -187,14 +207,68 @@ def _passes(bits: np.ndarray, n: np.ndarray, i, j, threshold: Fraction) -> np.nd
     return np.minimum(ni - only_a, nj - only_b) >= least_overlap(ni, nj, threshold)
 
 
-def _tile_candidates(threshold: Fraction):
+def _whole_keys(batches: Iterator[pa.RecordBatch], keys: list[str], most_rows: int = 4096, most_bytes: int = 1 << 25) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """A stream sorted by ``keys`` in tables of whole runs of equal keys, with the bounds of the runs; memory holds about ``most_bytes`` and one run."""
+    held: list[pa.RecordBatch] = []
+    rows = size = 0
+
+    def cut(last: bool):
+        table = pa.Table.from_batches(held).combine_chunks()
+        bounds = _groups([table.column(k).to_numpy() for k in keys])
+        return table, bounds if last else bounds[:-1]
+
+    for batch in batches:
+        for at in range(0, batch.num_rows, most_rows):
+            part = batch.slice(at, most_rows)
+            held.append(part)
+            rows, size = rows + part.num_rows, size + part.nbytes
+            if rows >= most_rows or size >= most_bytes:
+                table, bounds = cut(False)
+                done = int(bounds[-1])
+                if done:
+                    yield table.slice(0, done), bounds
+                held = table.slice(done).to_batches()
+                rows = size = 0  # the run left over grows by as much again before it is looked at
+    if held:
+        table, bounds = cut(True)
+        if table.num_rows:
+            yield table, bounds
+
+
+def _pairs(found: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """Distinct pairs (a, b) as batches."""
+    if found:
+        pairs = np.unique(np.sort(np.concatenate(found), axis=1), axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["a", "b"])
+
+
+def _allowed(x, y, label: np.ndarray, guest: np.ndarray, visits: bool) -> np.ndarray:
+    """Whether pairs are to be compared: never two guests, nor what is connected; of a visit only guests with those at home."""
+    apart = label[x] != label[y]
+    return apart & (guest[x] ^ guest[y]) if visits else apart & ~(guest[x] & guest[y])
+
+
+def _forest(n: np.ndarray, label: np.ndarray, guest: np.ndarray, visits: bool, threshold: Fraction, near, sure=None) -> list[tuple[int, int]]:
+    """Pairs (x, y) of a spanning forest of those that ``near`` (of many) and ``sure`` (of one) accept; rows ascend by n."""
+    label = np.unique(label, return_inverse=True)[1]
+    out = []
+    for x in range(len(n) - 1):
+        js = np.arange(x + 1, np.searchsorted(n, n[x] * threshold.denominator // threshold.numerator, side="right"))
+        js = js[_allowed(x, js, label, guest, visits)]
+        for y in near(x, js) if len(js) else ():
+            if label[y] != label[x] and (sure is None or sure(x, y)):
+                label[label == label[y]] = label[x]
+                out.append((x, y))
+    return out
+
+
+def _tile_candidates(threshold: Fraction, visits: bool):
     """Candidate pairs of tiles: rows sorted by (band, tile, i, j, n). Large tiles give a spanning forest of their candidates."""
 
-    def tile_pairs(rows: pa.Table) -> list[np.ndarray]:
-        col = lambda c: rows.column(c).to_numpy()
-        rep, n = col("id"), col("n")
+    def tile_pairs(rows: pa.Table, bounds: np.ndarray) -> list[np.ndarray]:
+        col = lambda c: rows.column(c).to_numpy(zero_copy_only=False)
+        rep, n, label, guest = col("id"), col("n"), col("label"), col("guest").astype(bool)
         bits = np.frombuffer(b"".join(rows.column("map").to_pylist()), np.uint64).reshape(len(rep), -1)
-        bounds = _groups([col(c) for c in ("tile", "i", "j")])
         sizes = np.diff(bounds)
         out = []
         group = np.repeat(np.arange(len(sizes)), sizes)
@@ -206,113 +280,154 @@ def _tile_candidates(threshold: Fraction):
             step = max(1, (1 << 22) // bits.shape[1])
             for s in range(0, len(i), step):
                 x = i[s : s + step]
-                x = x[n[x] * threshold.denominator >= n[x + d] * threshold.numerator]
+                x = x[(n[x] * threshold.denominator >= n[x + d] * threshold.numerator) & _allowed(x, x + d, label, guest, visits)]
                 x = x[_passes(bits, n, x, x + d, threshold)]
                 out.append(np.stack([rep[x], rep[x + d]], axis=1))
         for g in np.flatnonzero(sizes > SMALL_TILE):
             lo, hi = bounds[g], bounds[g + 1]
-            label = np.arange(hi - lo)
-            pairs = []
-            for x in range(lo, hi - 1):
-                end = lo + np.searchsorted(n[lo:hi], n[x] * threshold.denominator // threshold.numerator, side="right")
-                js = np.arange(x + 1, end)
-                js = js[label[js - lo] != label[x - lo]]
-                if not len(js):
-                    continue
-                for y in js[_passes(bits, n, np.full(len(js), x), js, threshold)]:
-                    a, b = label[x - lo], label[y - lo]
-                    if a != b:
-                        label[label == max(a, b)] = min(a, b)
-                        pairs.append((rep[x], rep[y]))
-            if pairs:
-                out.append(np.array(pairs, np.int64))
+            own, of = bits[lo:hi], n[lo:hi]
+            near = lambda x, js: js[_passes(own, of, np.full(len(js), x), js, threshold)]
+            if found := _forest(of, label[lo:hi], guest[lo:hi], visits, threshold, near):
+                out.append(rep[lo:hi][np.array(found)])
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
-        rows = pa.Table.from_batches(held).combine_chunks()
-        bounds = _groups([rows.column("band").to_numpy()])
-        out = [p for lo, hi in zip(bounds, bounds[1:]) for p in tile_pairs(rows.slice(lo, hi - lo).combine_chunks())]
-        found = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
-        found = np.unique(np.sort(found[found[:, 0] != found[:, 1]], axis=1), axis=0)
-        for s in range(0, len(found), 50_000):
-            yield pa.RecordBatch.from_arrays([pa.array(found[s : s + 50_000, 0].copy()), pa.array(found[s : s + 50_000, 1].copy())], ["a", "b"])
+        for rows, bounds in _whole_keys(batches, ["band", "tile", "i", "j"]):
+            band = rows.column("band").to_numpy()
+            wide = _groups([band])
+            found = []
+            for lo, hi in zip(wide, wide[1:]):  # bitmaps of a band are of one width
+                inside = bounds[(bounds >= lo) & (bounds <= hi)] - lo
+                found += tile_pairs(rows.slice(lo, hi - lo).combine_chunks(), inside)
+            yield from _pairs(found)
 
     return run
 
 
-def _decide(threshold: Fraction):
-    """Links of blocks of candidate components: rows sorted by (comp, i, j, n). Emits a spanning forest of each block pair's links, and how many pairs were intersected."""
+def _decide(threshold: Fraction, visits: bool):
+    """Links of blocks of candidate components, a spanning forest of each: rows sorted by (comp, i, j, n)."""
 
-    def block(rep, n, sets):
-        k = len(rep)
+    def links(rows: pa.Table) -> np.ndarray | None:
+        col = lambda c: rows.column(c).to_numpy(zero_copy_only=False)
+        rep, n, label, guest = col("id"), col("n"), col("label"), col("guest").astype(bool)
+        sets = [np.frombuffer(m, np.uint64) for m in rows.column("members").to_pylist()]
         width = size_class(int(np.median(n)))  # any width gives a right bound
         bits = np.stack([bitmap(s, width) for s in sets])
-        label = np.arange(k)
-        order = np.argsort(n, kind="stable")
-        links = []
-        for p in range(k - 1):
-            x = order[p]
-            js = order[p + 1 :]
-            js = js[(n[js] * threshold.numerator <= n[x] * threshold.denominator) & (label[js] != label[x]) & (rep[js] != rep[x])]
-            if not len(js):
-                continue
-            js = js[_passes(bits, n, np.full(len(js), x), js, threshold)]
-            for y in js:
-                if label[y] == label[x]:
-                    continue
-                both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
-                if both * threshold.denominator >= threshold.numerator * (int(n[x]) + int(n[y]) - both):
-                    a, b = label[x], label[y]
-                    label[label == max(a, b)] = min(a, b)
-                    links.append((int(rep[x]), int(rep[y])))
-        return links
+        near = lambda x, js: js[_passes(bits, n, np.full(len(js), x), js, threshold)]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, rows = None, []
+        def sure(x, y) -> bool:
+            both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+            return both * threshold.denominator >= threshold.numerator * (int(n[x]) + int(n[y]) - both)
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            if len(rows) > 1:
-                rep, n = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
-                links = block(rep, n, [np.frombuffer(r[2], np.uint64) for r in rows])
-                if links:
-                    a = np.array(links, np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(a[:, 0].copy()), pa.array(a[:, 1].copy())], ["a", "b"])
+        found = _forest(n, label, guest, visits, threshold, near, sure)
+        return rep[np.array(found)] if found else None
 
-        for batch in batches:
-            cols = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("comp", "i", "j", "id", "n", "members")]
-            for comp, i, j, rep, n, members in zip(*cols):
-                if (comp, i, j) != key:
-                    yield from flush()
-                    key, rows = (comp, i, j), []
-                rows.append((rep, n, members))
-        yield from flush()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, bounds in _whole_keys(batches, ["comp", "i", "j"]):
+            found = [links(rows.slice(lo, hi - lo).combine_chunks()) for lo, hi in zip(bounds, bounds[1:]) if hi - lo > 1]
+            yield from _pairs([f for f in found if f is not None])
 
     return run
 
 
-def _block_pairs(rows: DataFrame, count: str, block: int, copies=None) -> DataFrame:
-    """Each row in every pair (i, j), i <= j, of blocks that its own block is part of; groups of up to ``block`` rows have the pair (0, 0) alone."""
-    blocks = F.ceil(F.col(count) / block).cast("int")
-    own = F.pmod(F.xxhash64("id"), blocks).cast("int")
-    rows = rows.withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    return rows.withColumn("i", F.least("_own", "_other")).withColumn("j", F.greatest("_own", "_other")).drop("_own", "_other")
+def _dealt(members: DataFrame, group: list[str]) -> DataFrame:
+    """``members`` (group, id, n) of groups of two or more, with their size, number of blocks and own block."""
+    sizes = members.groupBy(*group).agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("_all")).filter("size > 1")
+    blocks = F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("_all") / BLOCK_MEMBERS)).cast("int")
+    sizes = materialise(sizes.select(*group, "size", blocks.alias("blocks")), "sizes")
+    return materialise(members.join(sizes, group).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")), "dealt")
+
+
+def _at_home(dealt: DataFrame, group: list[str]) -> DataFrame:
+    """Each class in its own block; of a large group about ``PIVOTS`` classes, the same for all blocks, visit the others."""
+    pivot = (F.col("blocks") > 1) & (F.pmod(F.xxhash64("id", F.lit(3)), F.col("size")) < PIVOTS)
+    placed = dealt.withColumn("i", F.explode(F.when(pivot, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("own"))))
+    return placed.select(*group, "i", F.lit(0).alias("j"), "id", "n", F.col("id").alias("label"), (F.col("i") != F.col("own")).alias("guest"))
+
+
+def _left_over(dealt: DataFrame, group: list[str], found: DataFrame) -> tuple[DataFrame, float] | None:
+    """Large groups that ``found`` does not connect wholly, with each class's label, the label of the largest component and the number left outside; and the rows that visits of these would move, in rows of the groups."""
+    names = found.select(F.col("id").alias("_f"), F.col("comp").alias("_c"))
+    large = dealt.filter("blocks > 1").join(names, F.col("id") == F.col("_f"), "left").withColumn("label", F.coalesce("_c", "id")).drop("_f", "_c")
+    tally = large.groupBy(*group, "label").agg(F.count(F.lit(1)).alias("c"))
+    most = tally.groupBy(*group).agg(F.max(F.struct("c", "label")).alias("most"), F.sum("c").alias("all"))
+    most = most.select(*group, F.col("most.label").alias("main"), (F.col("all") - F.col("most.c")).alias("rest")).filter("rest > 0")
+    large = materialise(large.join(most, group), "left-over")
+    moved = F.ceil(F.col("rest") / GUESTS) + F.when(F.col("label") != F.col("main"), F.col("blocks")).otherwise(F.lit(0))
+    cost = large.agg(F.avg(moved)).first()[0]
+    return (large, float(cost)) if cost is not None else None
+
+
+def _visited(home: DataFrame, guests: DataFrame, group: list[str]) -> DataFrame:
+    """Classes in their own blocks, and guests in every block."""
+    home = home.withColumn("i", F.col("own")).withColumn("guest", F.lit(False))
+    guests = guests.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("guest", F.lit(True))
+    columns = [*group, "i", "j", "id", "n", "label", "guest"]
+    return home.select(*columns).unionByName(guests.select(*columns))
+
+
+def _hubs(left: DataFrame, group: list[str], links: DataFrame, seed: int) -> DataFrame:
+    """As guests of every block the ``PIVOTS`` classes of each group with the most links, and as guests of some blocks those outside its largest component."""
+    degree = links.select(F.explode(F.array("a", "b")).alias("_l")).groupBy("_l").agg(F.count(F.lit(1)).alias("_d"))
+    place = F.row_number().over(Window.partitionBy(*group).orderBy(F.desc("_d"), "id"))
+    known = materialise(left.join(degree, F.col("id") == F.col("_l")).withColumn("_p", place).filter(F.col("_p") <= PIVOTS).drop("_l", "_d", "_p"), "hubs")
+    left = left.withColumn("j", F.lit(0))
+    placed = _visited(left, known.withColumn("j", F.lit(0)), group)
+    # blocks in a row from one of its own, so that the guests are spread evenly
+    some = F.least(F.col("blocks") - 1, F.greatest(F.lit(1), F.floor(F.col("size") * (MOVES - 1) / F.col("rest")).cast("int")))
+    first = F.pmod(F.xxhash64("id", F.lit(seed)), F.col("blocks")).cast("int")
+    at = F.transform(F.sequence(F.lit(0), some - 1), lambda k: F.pmod(first + k, F.col("blocks")).cast("int"))
+    outside = left.filter("label <> main").withColumn("i", F.explode(F.filter(at, lambda i: i != F.col("own")))).withColumn("guest", F.lit(True))
+    return placed.unionByName(outside.select(*placed.columns))  # a class that is in a block twice has one label, so it isn't compared with itself
+
+
+def _visits(left: DataFrame, group: list[str]) -> DataFrame:
+    """The classes outside their group's largest component as guests of every block."""
+    parts = F.ceil(F.col("rest") / GUESTS).cast("int")
+    home = left.withColumn("j", F.explode(F.sequence(F.lit(0), parts - 1)))
+    guests = left.filter("label <> main").withColumn("j", F.pmod(F.xxhash64("id", F.lit(5)), parts).cast("int"))
+    return _visited(home, guests, group)
+
+
+def _components_of(members: DataFrame, group: list[str], payload, decide) -> DataFrame:
+    """Components (id, comp) of the pairs within groups that ``decide(visits)`` accepts, of rows that ``payload`` adds to."""
+    dealt = _dealt(members, group)
+
+    def links_of(placed: DataFrame, visits: bool) -> DataFrame:
+        keys = [*group, "i", "j"]
+        rows = payload(placed).repartition(*keys).sortWithinPartitions(*keys, "n", "id")
+        return materialise(rows.mapInArrow(decide(visits), "a long, b long"), "links")
+
+    links = links_of(_at_home(dealt, group), False)
+    found = connected_components(links)
+    if not dealt.filter("blocks > 1").limit(1).count():
+        return found
+    for turn in range(ROUNDS + 1):
+        left = _left_over(dealt, group, found)
+        if left is None:
+            break
+        last = turn == ROUNDS or left[1] <= MOVES
+        more = links_of(_visits(left[0], group) if last else _hubs(left[0], group, links, 11 + turn), True)
+        found = connected_components(more.unionByName(found.select(F.col("id").alias("a"), F.col("comp").alias("b"))))
+        if last:
+            break
+        links = links.unionByName(more)
+    return found
 
 
 def row_key(key: str = "doc_id", text: str = "text") -> Column:
     """A digest of id and text, nulls told apart: rows that share it agree in both."""
     t = F.col(text).cast("string")
-    return F.unhex(F.sha2(F.concat(F.coalesce(F.col(key).cast("long").cast("string"), F.lit("")), F.when(t.isNull(), F.lit("-")).otherwise(F.lit("+")), F.coalesce(t, F.lit(""))), 256))
+    return F.unhex(F.sha2(F.concat(F.coalesce(F.col(key).cast("string"), F.lit("")), F.when(t.isNull(), F.lit("-")).otherwise(F.lit("+")), F.coalesce(t, F.lit(""))), 256))
 
 
 def _linked(docs: DataFrame, key: str, text: str, words: int, threshold: Fraction | float) -> DataFrame:
     """(id, row, n, class_id, component_id, comp) of each row: the least ids of class and component, and the component's own number; all three are null where the set is empty."""
     t = threshold if isinstance(threshold, Fraction) else Fraction(threshold).limit_denominator(1000)
-    base = docs.select(F.col(key).cast("long").alias("_id"), F.col(text).cast("string").alias("_text"), row_key(key, text).alias("_row"))
-    common = _common_members(base, words)
-    rows = materialise(_describe(base, words, t, common), "sets")
+    if not 0 < t <= 1:
+        raise ValueError(f"a threshold of {threshold} is not above 0 and at most 1")
+    base = docs.select(F.col(key).alias("_id"), F.col(text).cast("string").alias("_text"), row_key(key, text).alias("_row"))
+    rows = materialise(_describe(base, words, t, _common_members(base, words)), "sets")
     filled = rows.filter("n > 0")
     classes = materialise(
         filled.groupBy("print", "n")
@@ -325,35 +440,31 @@ def _linked(docs: DataFrame, key: str, text: str, words: int, threshold: Fractio
     # a tile is named by its least class, so the tiles that one family of texts makes fall together and each class goes into them once
     live = materialise(posts.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.min("id").alias("tile")).filter("df > 1").select("token", "tile"), "tokens")
     placed = materialise(posts.join(live, "token").select("tile", "id", "n").distinct(), "posts")
-    # the size classes of the bitmaps are the bands: a set is in its own, and in the next where it can link to that
+    # the size classes of the bitmaps are the bands
     cls_of = lambda n: F.greatest(F.lit(size_class(0)), F.length(F.bin(n)))
-    own, up = cls_of(F.col("n")), cls_of(F.expr(f"n * {t.denominator} div {t.numerator}"))
-    banded = placed.withColumn("band", F.explode(F.when(up > own, F.array(own, own + 1)).otherwise(F.array(own))))
-    sizes = banded.groupBy("tile", "band").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    tiled = _block_pairs(banded.join(materialise(sizes, "sizes"), ["tile", "band"]), "size", BLOCK)
+    banded = placed.withColumn("band", F.explode(F.sequence(cls_of(F.col("n")), cls_of(F.expr(f"n * {t.denominator} div {t.numerator}")))))
     maps = classes.select("id", F.explode("bits").alias("b")).select("id", F.col("b.cls").alias("band"), "b.map")
-    tiled = tiled.join(maps, ["id", "band"]).select("band", "tile", "i", "j", "id", "n", "map")
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    tiled = tiled.repartition(parts, "band", "tile", "i", "j").sortWithinPartitions("band", "tile", "i", "j", "n")
-    candidates = connected_components(tiled.mapInArrow(_tile_candidates(t), "a long, b long"))
+    candidates = _components_of(banded, ["band", "tile"], lambda rows: rows.join(maps, ["id", "band"]), lambda visits: _tile_candidates(t, visits))
 
-    sizes = candidates.groupBy("comp").agg(F.count(F.lit(1)).alias("size"))
-    members = materialise(candidates.join(sizes, "comp"), "members")
+    # a class is represented by one text: rows of its key agree in it, and repeated ones go
+    members = materialise(candidates.join(classes.select("id", "n", "row"), "id"), "members")
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                sets = [shingle_set(x, words) for x in part.column(3).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "comp", "size", "n", "members"])
-
-    # a class is represented by one text: rows of its key agree in it, and repeated ones go
-    wanted = members.join(classes.select("id", "row"), "id")
-    texts = base.join(wanted, base["_row"] == wanted["row"]).select("id", "comp", "size", "row", "_text").dropDuplicates(["id", "row"]).select("id", "comp", "size", "_text")
-    sets = texts.mapInArrow(fetch, "id long, comp long, size long, n long, members binary")
-    blocked = _block_pairs(sets, "size", BLOCK).repartition(parts, "comp", "i", "j").sortWithinPartitions("comp", "i", "j", "n", "id")
-    links = blocked.mapInArrow(_decide(t), "a long, b long")
-    found = connected_components(links)
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                sets = [shingle_set(x, words).tobytes() for x in part.column(part.num_columns - 1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(sets, pa.binary())], [*part.schema.names[:-1], "members"])
+
+    def with_sets(placed: DataFrame) -> DataFrame:
+        """A text is fetched and cut once, whatever the number of its places."""
+        places = placed.groupBy("id").agg(F.collect_list(F.struct(*(c for c in placed.columns if c != "id"))).alias("at"))
+        wanted = members.select("id", "row").join(places, "id")
+        texts = base.join(wanted, base["_row"] == wanted["row"]).select("id", "row", "at", "_text").dropDuplicates(["id", "row"]).select("id", "at", "_text")
+        sets = texts.mapInArrow(fetch, f"id long, at {places.schema['at'].dataType.simpleString()}, members binary")
+        return sets.select("id", "members", F.explode("at").alias("at")).select("id", "members", "at.*")
+
+    found = _components_of(members.select("comp", "id", "n"), ["comp"], with_sets, lambda visits: _decide(t, visits))
 
     # a component's id is the least that its classes have
     of_comp = found.join(classes.select("id", "class_id"), "id").groupBy("comp").agg(F.min("class_id").alias("component_id"))

@@ -386,6 +386,49 @@ def test_jaccard_takes_every_id(spark):
     assert {(r.doc_id, r.n_shingles): r.component_id for r in out} == {(top, 2): top, (2**62, 58): 2**62, (top - 1, 58): 2**62, (None, 58): 2**62, (-(2**63), 2): -(2**63), (7, 3): 7, (7, 4): 7}
 
 
+@pytest.mark.parametrize("threshold", [Fraction(1, 5), Fraction(1, 2), Fraction(9, 10)])
+def test_jaccard_thresholds_and_large_groups(spark, threshold):
+    """Sets of very different sizes, families of several blocks with clusters of their own, and string ids."""
+    rng = random.Random(8)
+    long = [f"a{i}" for i in range(1002)]
+    texts = [("long", " ".join(long)), ("short", " ".join(long[:252]))]
+    for f, most in enumerate((3, 14)):  # one family that is connected, one that falls apart at a high threshold
+        base = [f"f{f}w{i}" for i in range(70)]
+        for k in range(230):
+            w = list(base)
+            for _ in range(rng.randrange(most)):
+                w[rng.randrange(70)] = f"x{rng.randrange(9)}"
+            texts.append((f"f{f}-{k:03}", " ".join(w)))
+    rows = jaccard_join.similar_classes(spark.createDataFrame(texts, "doc_id string, text string"), words=3, threshold=threshold).collect()
+    comp, _ = _brute_components(texts, 3, threshold)
+    assert {r.doc_id: r.component_id for r in rows} == comp
+    assert (comp["short"] == comp["long"]) == (threshold <= Fraction(1, 4))
+
+
+def test_jaccard_threshold_must_make_sense(spark, none):
+    for bad in (0, -1, 1.5):
+        with pytest.raises(ValueError):
+            jaccard_join.similar_classes(none, threshold=bad)
+
+
+def test_jaccard_of_one_large_family(spark, monkeypatch):
+    """Rows that carry bitmaps or sets grow with the family, not with its square. One text alone links the copies edited at one place to those edited at another."""
+    n, base, moved = 50_000, [f"w{i}" for i in range(60)], []
+    near = lambda k: " ".join([*base[: k % 60], f"x{k // 60}", *base[k % 60 + 1 :]]) if k else " ".join(base)
+    for name in ("_at_home", "_hubs", "_visits"):
+
+        def counted(*args, _of=getattr(jaccard_join, name)):
+            placed = _of(*args)
+            moved.append(placed.count())
+            return placed
+
+        monkeypatch.setattr(jaccard_join, name, counted)
+    docs = spark.createDataFrame([(k, near(k)) for k in range(n)], "doc_id long, text string").repartition(8)
+    rows = jaccard_join.similar_classes(docs, words=3, threshold=Fraction(9, 10)).groupBy("component_id").count().collect()
+    assert [(r.component_id, r["count"]) for r in rows] == [(0, n)]
+    assert sum(moved) < 20 * n, moved
+
+
 def test_components(spark):
     rng = random.Random(2)
     links = [(i, i + 1) for i in range(0, 40)] + [(100, i) for i in range(101, 140)] + [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(40)]

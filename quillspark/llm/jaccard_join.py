@@ -14,8 +14,9 @@ components; within these the sets themselves are fetched, and pairs are decided
 Every link lies within a candidate component, so none is lost; a pair that is already connected needs no decision.
 Components of the links come from joins (``components``).
 
-No group of classes, tile or component, is gathered in one place, and no group meets itself block by block. A large
-group is dealt into blocks (``_dealt``). First each block compares its own classes, and each with a few pivots that
+No group of classes, tile or component, is gathered in one place. One of up to ``LARGE`` classes is cut into a few blocks,
+and each pair of blocks is a task's work. A larger group does not meet itself block by block: it
+is dealt into smaller blocks (``_dealt``). First each block compares its own classes, and each with a few pivots that
 visit every block (``_at_home``). What this connects is contracted, and while much is left outside the group's
 largest component, the classes with the most links so far visit every block, and those left outside as many blocks as
 ``MOVES`` allows (``_hubs``). At last all classes still outside visit all blocks (``_visits``): a pair within the
@@ -52,8 +53,9 @@ COMMON = 2048
 #: So many of the most frequent members are ordered by their frequency; the list only orders, any list gives the same result.
 LISTED = 200_000
 SMALL_TILE = 64
-#: A block of a large group has about so many classes, or so many members in all of their sets.
-BLOCK, BLOCK_MEMBERS = 64, 2_000_000
+#: Groups of up to ``LARGE`` classes are cut into blocks of about ``WHOLE`` that meet in pairs, larger ones into blocks of about
+#: ``BLOCK``; the sets of a block have about ``BLOCK_MEMBERS`` members in all at most.
+LARGE, WHOLE, BLOCK, BLOCK_MEMBERS = 1024, 256, 64, 2_000_000
 PIVOTS = 8
 #: A task of visits has a block and so many guests.
 GUESTS = 192
@@ -331,24 +333,29 @@ def _decide(threshold: Fraction, visits: bool):
 
 
 def _dealt(members: DataFrame, group: list[str]) -> DataFrame:
-    """``members`` (group, id, n) of groups of two or more, with their size, number of blocks and own block."""
+    """``members`` (group, id, n) of groups of two or more, with their size, whether the group is large, the number of blocks and their own block."""
     sizes = members.groupBy(*group).agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("_all")).filter("size > 1")
-    blocks = F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("_all") / BLOCK_MEMBERS)).cast("int")
-    sizes = materialise(sizes.select(*group, "size", blocks.alias("blocks")), "sizes")
+    large = F.col("size") > LARGE
+    blocks = F.greatest(F.ceil(F.col("size") / F.when(large, F.lit(BLOCK)).otherwise(F.lit(WHOLE))), F.ceil(F.col("_all") / BLOCK_MEMBERS)).cast("int")
+    sizes = materialise(sizes.select(*group, "size", large.alias("large"), blocks.alias("blocks")), "sizes")
     return materialise(members.join(sizes, group).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")), "dealt")
 
 
 def _at_home(dealt: DataFrame, group: list[str]) -> DataFrame:
-    """Each class in its own block; of a large group about ``PIVOTS`` classes, the same for all blocks, visit the others."""
-    pivot = (F.col("blocks") > 1) & (F.pmod(F.xxhash64("id", F.lit(3)), F.col("size")) < PIVOTS)
-    placed = dealt.withColumn("i", F.explode(F.when(pivot, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("own"))))
-    return placed.select(*group, "i", F.lit(0).alias("j"), "id", "n", F.col("id").alias("label"), (F.col("i") != F.col("own")).alias("guest"))
+    """Each class of a large group in its own block (i, 0), with about ``PIVOTS`` classes, the same for all blocks, as guests; of another group in every pair (i, j) of blocks that its own is part of."""
+    pivot = F.col("large") & (F.pmod(F.xxhash64("id", F.lit(3)), F.col("size")) < PIVOTS)
+    placed = dealt.withColumn("_at", F.explode(F.when(pivot | ~F.col("large"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("own"))))
+    pair = lambda large, other: F.when(F.col("large"), large).otherwise(other)
+    return placed.select(
+        *group, pair(F.col("_at"), F.least("own", "_at")).alias("i"), pair(F.lit(0), F.greatest("own", "_at")).alias("j"),
+        "id", "n", F.col("id").alias("label"), (F.col("large") & (F.col("_at") != F.col("own"))).alias("guest"),
+    )
 
 
 def _left_over(dealt: DataFrame, group: list[str], found: DataFrame) -> tuple[DataFrame, float] | None:
     """Large groups that ``found`` does not connect wholly, with each class's label, the label of the largest component and the number left outside; and the rows that visits of these would move, in rows of the groups."""
     names = found.select(F.col("id").alias("_f"), F.col("comp").alias("_c"))
-    large = dealt.filter("blocks > 1").join(names, F.col("id") == F.col("_f"), "left").withColumn("label", F.coalesce("_c", "id")).drop("_f", "_c")
+    large = dealt.filter("large").join(names, F.col("id") == F.col("_f"), "left").withColumn("label", F.coalesce("_c", "id")).drop("_f", "_c")
     tally = large.groupBy(*group, "label").agg(F.count(F.lit(1)).alias("c"))
     most = tally.groupBy(*group).agg(F.max(F.struct("c", "label")).alias("most"), F.sum("c").alias("all"))
     most = most.select(*group, F.col("most.label").alias("main"), (F.col("all") - F.col("most.c")).alias("rest")).filter("rest > 0")
@@ -400,7 +407,7 @@ def _components_of(members: DataFrame, group: list[str], payload, decide) -> Dat
 
     links = links_of(_at_home(dealt, group), False)
     found = connected_components(links)
-    if not dealt.filter("blocks > 1").limit(1).count():
+    if not dealt.filter("large").limit(1).count():
         return found
     for turn in range(ROUNDS + 1):
         left = _left_over(dealt, group, found)
@@ -457,10 +464,10 @@ def _linked(docs: DataFrame, key: str, text: str, words: int, threshold: Fractio
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(sets, pa.binary())], [*part.schema.names[:-1], "members"])
 
     def with_sets(placed: DataFrame) -> DataFrame:
-        """A text is fetched and cut once, whatever the number of its places."""
+        """A text is fetched and cut once, whatever the number of its places. The join has one plan at every size."""
         places = placed.groupBy("id").agg(F.collect_list(F.struct(*(c for c in placed.columns if c != "id"))).alias("at"))
         wanted = members.select("id", "row").join(places, "id")
-        texts = base.join(wanted, base["_row"] == wanted["row"]).select("id", "row", "at", "_text").dropDuplicates(["id", "row"]).select("id", "at", "_text")
+        texts = base.join(wanted.hint("merge"), base["_row"] == wanted["row"]).select("id", "row", "at", "_text").dropDuplicates(["id", "row"]).select("id", "at", "_text")
         sets = texts.mapInArrow(fetch, f"id long, at {places.schema['at'].dataType.simpleString()}, members binary")
         return sets.select("id", "members", F.explode("at").alias("at")).select("id", "members", "at.*")
 

@@ -386,9 +386,11 @@ def test_jaccard_takes_every_id(spark):
     assert {(r.doc_id, r.n_shingles): r.component_id for r in out} == {(top, 2): top, (2**62, 58): 2**62, (top - 1, 58): 2**62, (None, 58): 2**62, (-(2**63), 2): -(2**63), (7, 3): 7, (7, 4): 7}
 
 
-@pytest.mark.parametrize("threshold", [Fraction(1, 5), Fraction(1, 2), Fraction(9, 10)])
-def test_jaccard_thresholds_and_large_groups(spark, threshold):
+@pytest.mark.parametrize("threshold, sizes", [(Fraction(1, 5), {"WHOLE": 48}), (Fraction(1, 2), {}), (Fraction(9, 10), {"LARGE": 100, "BLOCK": 16, "GUESTS": 16, "MOVES": 2, "PIVOTS": 2})])
+def test_jaccard_thresholds_and_large_groups(spark, monkeypatch, threshold, sizes):
     """Sets of very different sizes, families of several blocks with clusters of their own, and string ids."""
+    for name, value in sizes.items():
+        monkeypatch.setattr(jaccard_join, name, value)
     rng = random.Random(8)
     long = [f"a{i}" for i in range(1002)]
     texts = [("long", " ".join(long)), ("short", " ".join(long[:252]))]

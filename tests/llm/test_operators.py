@@ -249,6 +249,114 @@ def test_numbers_that_other_words_follow_or_precede(spark):
         assert r.text.startswith(masked[0]) and r.text.endswith(masked[-1])
 
 
+def _iban_ok(v):
+    c = v.replace(" ", "")
+    if not re.fullmatch(r"[A-Z]{2}[0-9]{2}[A-Z0-9 ]+", v) or not 15 <= len(c) <= 34:
+        return False
+    return int("".join(str(int(x, 36)) for x in c[4:] + c[:4])) % 97 == 1
+
+
+def _luhn_ok(v):
+    d = [int(x) for x in re.sub(r"\D", "", v)][::-1]
+    return sum(x if i % 2 == 0 else sum(divmod(2 * x, 10)) for i, x in enumerate(d)) % 10 == 0
+
+
+def _date_ok(v):
+    import datetime
+
+    m = re.fullmatch(r"([0-9]{4})([/.-])([0-9]{2})\2([0-9]{2})|([0-9]{2})([/.-])([0-9]{2})\6([0-9]{4})", v)
+    if not m:
+        return False
+    tries = [(m[1], m[3], m[4])] if m[1] else [(m[8], m[7], m[5]), (m[8], m[5], m[7])]
+    for t in tries:
+        try:
+            return 0 <= (datetime.date(*map(int, t)) - datetime.date(1900, 1, 1)).days < 73000
+        except ValueError:
+            pass
+    return False
+
+
+def _brute_values(text):
+    """(start, end, kind) by plain search over the atoms of runs."""
+    atoms = [(m.start(), m.end()) for m in re.finditer("[0-9]+|[A-Z]+", text)]
+    digit = lambda k: 0 <= k < len(atoms) and text[atoms[k][0]].isdigit()
+    gap = lambda k: text[atoms[k - 1][1] if k else 0 : atoms[k][0] if k < len(atoms) else len(text)]
+    found, k = [], 0
+    while k < len(atoms):
+        s = atoms[k][0]
+        for j in range(len(atoms) - 1, k - 1, -1):
+            v = text[s : atoms[j][1]]
+            if len(v) < 7 or len(v) > 67 or re.search(r"[^A-Z0-9 ().+/-]|[ ().+/-]{4}", v):
+                continue
+            on = lambda seps: gap(j + 1) in list(seps) and digit(j + 1)  # noqa: E731, B023
+            begun = lambda seps: gap(k)[-1:] in list(seps) and gap(k) != ""  # noqa: E731, B023
+            kind = ""
+            if (k == 0 or gap(k)) and (j == len(atoms) - 1 or gap(j + 1)) and _iban_ok(v):
+                kind = "iban"
+            elif digit(k) and digit(j):
+                if not begun(".") and not on(".") and re.fullmatch(r"[0-9]{1,3}(\.[0-9]{1,3}){3}", v) and all(int(o) < 256 and len(str(int(o))) == len(o) for o in v.split(".")):
+                    kind = "ip"
+                elif not begun("/.-") and not on("/.-") and _date_ok(v):
+                    kind = "date"
+                elif not begun("-") and not on("-") and re.fullmatch(r"(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}", v):
+                    kind = "ssn"
+                elif re.fullmatch("[0-9](?:[ -]?[0-9]){12,18}", v) and _luhn_ok(v):
+                    beside = (digit(k - 1) and gap(k) in (" ", "-")) or (digit(j + 1) and gap(j + 1) in (" ", "-"))
+                    if not beside or re.fullmatch(r"[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1([0-9]{1,4}|[0-9]{4}\1[0-9]{3})|[0-9]{4}([ -])[0-9]{6}\3[0-9]{4,5}", v):
+                        kind = "card"
+            if kind:
+                found.append((s, atoms[j][1], kind))
+                k = j
+                break
+        k += 1
+    phones, free = [], 0
+    taken = lambda a, b: any(x < b and y > a for x, y, _ in found)
+    joined = lambda k: digit(k - 1) and digit(k) and re.fullmatch(r"[ ().-]{1,2}", gap(k)) and not taken(*atoms[k - 1]) and not taken(*atoms[k])
+    for k, (s, _) in enumerate(atoms):
+        lead = re.search(r"[+(]{0,2}$", gap(k))[0]
+        options = []
+        for j in range(k, min(len(atoms), k + 15)):
+            number = lead + text[s : atoms[j][1]]
+            if digit(k) and not taken(s, atoms[j][1]) and 7 <= len(re.sub(r"\D", "", number)) <= 15 and re.fullmatch(r"[+(]{0,2}[0-9](?:[ ().-]{0,2}[0-9])*", number) and re.search(r"^\+|[ ().-]", number):
+                if re.fullmatch(r"[0-9]{1,3}(\.[0-9]{1,3}){3}|[0-9]{3}-[0-9]{2}-[0-9]{4}|[0-9]{4}([/.-])[0-9]{2}\2[0-9]{2}|[0-9]{2}([/.-])[0-9]{2}\3[0-9]{4}", number):
+                    continue
+                nanp = bool(re.fullmatch(r"(?:\+?1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}", number))
+                if nanp or lead.startswith("+") or (not joined(k) and not joined(j + 1)):
+                    options.append((not nanp, -atoms[j][1]))
+        if options and s - len(lead) >= free:
+            free = -min(options)[1]
+            phones.append((s - len(lead), free, "phone"))
+    return sorted(found + phones)
+
+
+def test_values_beside_each_other_are_found(spark):
+    """The values of runs against plain search, over cases and random mixtures."""
+    told = {
+        "card 4111 1111 1111 1111 12/27": ["4111 1111 1111 1111"], "ES91 2100 0418 4502 0005 1332 PAID NOW": ["ES91 2100 0418 4502 0005 1332"],
+        "(555) 123-4567 100 units": ["(555) 123-4567"], "+49 30 1234567 2024-01-05": ["+49 30 1234567", "2024-01-05"],
+        "7 4111111111111111 999-12-3456 123-45-6789 7": ["4111111111111111", "123-45-6789"], "ID BE68539007547034 10.0.0.1/24 12.5": ["BE68539007547034", "10.0.0.1"],
+        "CARD4111111111111111 A.B5@X.COM": ["4111111111111111", "A.B5@X.COM"], "1 2 3 4 5 6 7 8 9 10 11 12 13": [], "2024-01-05-06 v1.2.3.4.5": ["2024-01-05-06"],
+    }
+    rng = random.Random(12)
+    values = ["4111 1111 1111 1111", "378282246310005", "5500-0055-5555-5559", "GB82 WEST 1234 5698 7654 32", "DE89370400440532013000", "123-45-6789", "192.168.1.20", "2024-02-29", "31/12/1999", "(555) 123-4567", "+49 30 1234567", "555.123.4567", "4111 1111 1111 1112"]
+    between = [" ", "  ", "-", "/", " 12/27 ", " PAID ", " 7 ", ". ", ", ", " x ", "", "+", " ("]
+    mixed = ["".join(rng.choice(values) + rng.choice(between) for _ in range(rng.randrange(1, 5))) for _ in range(300)]
+    docs = spark.createDataFrame(list(enumerate([*told, *mixed])), "doc_id long, text string")
+    out = pii.pseudonymise(docs.withColumn("before", F.col("text")), "k").orderBy("doc_id").collect()
+    for r, want in zip(out, told.values()):
+        assert [x.value for x in r.pii] == want, r.before
+    for r in out[len(told) :]:
+        assert [(x.start, x.end, x.kind) for x in r.pii] == _brute_values(r.before), r.before
+        kept = re.split("|".join(re.escape(x.value) for x in sorted(r.pii, key=lambda x: -len(x.value))) or "$^", r.before)
+        assert len(r.text) >= sum(map(len, kept)) and all(r.before[x.start : x.end] == x.value for x in r.pii)
+
+
+def test_a_long_run_of_numbers(spark):
+    text = "4111 1111 1111 1111 2024-01-05 12 " * 4000
+    row = pii.pseudonymise(spark.createDataFrame([(1, text)], "doc_id long, text string"), "k").first()
+    assert len(row.pii) == 8000 and all(text[x.start : x.end] == x.value for x in row.pii)
+
+
 # --- quality ---------------------------------------------------------------------------------------------
 
 
@@ -507,14 +615,32 @@ def test_loser_tree_merges_runs():
         assert list(warc.LoserTree(runs)) == sorted(x for r in runs for x in r)
 
 
+def test_runs_merge_as_their_chunks_come():
+    rng = random.Random(6)
+    for chunk, at_once in ((1, 1), (3, 2), (4, 64)):
+        runs = {f"r{k}": sorted((rng.randrange(60), k, i) for i in range(rng.randrange(40))) for k in range(7)}
+        chunks = sorted((r[i][:1], name, r[i : i + chunk]) for name, r in runs.items() for i in range(0, len(r), chunk))
+        merged = list(warc.forecast_merge(((name, first[0], items) for first, name, items in chunks), at_once))
+        assert merged == sorted(x for r in runs.values() for x in r)
+
+
 def test_archives_odd(spark, tmp_path):
     big = "<p>x</p>\r\n\r\nWARC/1.1\r\n" * 100
-    rows = [(1, "http://b.org/x", big, 0), (2, "http://www.a.org/y?q#f", big, 0), (3, None, None, 0), (None, "http://a.org/y?q", big, 0), (4, "no url\n", "", 0), (4, "no url\n", "", 0)]
-    pages = spark.createDataFrame(rows, "page_id long, url string, html string, d int")
-    out = warc.capture_histories(pages, str(tmp_path / "w")).collect()
+    long = "é" * 3_000_000
+    rows = [(1, "http://b.org/x", big, 0), (2, "http://www.a.org/y?q#f", big, 0), (3, None, None, 0), (None, "http://a.org/y?q", big, 0), (4, "no url\n", "", 0), (4, "no url\n", "", 0), (5, "http://c.org", long, 0)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, at long").withColumn("archive", F.lit("x")).withColumn("_id", F.lit(1)).withColumn("place", F.lit(2))
+    out = warc.capture_histories(pages, str(tmp_path / "w"), archive_bytes=1).collect()
     assert sorted((str(r.page_id), r.record_type, r.refers_to, r.payload_bytes) for r in out) == sorted(
-        [("1", "revisit", 2, 2200), ("2", "response", None, 2200), ("3", "response", None, 0), ("None", "revisit", 2, 2200), ("4", "response", None, 0), ("4", "response", None, 0)]
+        [("1", "revisit", 2, 2200), ("2", "response", None, 2200), ("3", "response", None, 0), ("None", "revisit", 2, 2200), ("4", "response", None, 0), ("4", "response", None, 0), ("5", "response", None, 6_000_000)]
     )
     keys = [(r.url_key, r.captured) for r in out]
-    assert keys == sorted(keys) and keys[0][0] == "no%20url%20" or keys == sorted(keys)
+    assert keys == sorted(keys) and {"org,a)/y?q", "org,b)/x", "org,c)/", "urn:page:3", "no%20url%20"} == {k for k, _ in keys}
+    for r in out:  # one member a record, found by its place
+        with open(tmp_path / "w" / r.archive, "rb") as f:
+            f.seek(r.at)
+            headers, _ = warc.parse(next(warc.members(f))[1])
+        assert headers["WARC-Type"] == r.record_type and headers["WARC-URL-Key"] == r.url_key and ("WARC-Refers-To" in headers) == (r.record_type == "revisit")
+    assert len({r.archive for r in out}) == len(out)  # each archive was full after a record
     assert warc.capture_histories(pages.limit(0), str(tmp_path / "v")).count() == 0
+    named = warc.capture_histories(pages.withColumn("page_id", F.concat(F.lit("p"), "page_id")), str(tmp_path / "s")).collect()
+    assert {(r.page_id, r.refers_to) for r in named} == {("p1", "p2"), ("p2", None), ("p3", None), (None, "p2"), ("p4", None), ("p5", None)}

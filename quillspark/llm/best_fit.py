@@ -170,30 +170,33 @@ def by_program(histogram: dict[int, int], capacity: int, rounds: int = ROUNDS) -
     return out, left
 
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> list[tuple[tuple[int, ...], int]]:
-    """(configuration, number of sequences) for every piece of the histogram."""
+def plan(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> list[tuple[tuple[int, ...], int, str]]:
+    """(configuration, number of sequences, how it was found) for every piece of the histogram: a piece that is ``full``, the ``program`` or the best ``fit`` of what that leaves."""
     whole = {k: v for k, v in histogram.items() if k < capacity}
-    out = [((capacity,), histogram[capacity])] if histogram.get(capacity) else []
+    out = [((capacity,), histogram[capacity], "full")] if histogram.get(capacity) else []
     decided, rest = by_program(whole, capacity, rounds)
-    return out + decided + list(best_fit_rest(rest, capacity).items())
+    return out + [(*d, "program") for d in decided] + [(*f, "fit") for f in best_fit_rest(rest, capacity).items()]
 
 
-def slots(planned: list[tuple[tuple[int, ...], int]]) -> dict[str, np.ndarray]:
-    """The plan as arrays sorted by (length, first rank): how many pieces a sequence takes there, its first sequence and offset."""
+FOUND = ("full", "program", "fit")
+
+
+def slots(planned: list[tuple[tuple[int, ...], int, str]]) -> dict[str, np.ndarray]:
+    """The plan as arrays sorted by (length, first rank): how many pieces a sequence takes there, its first sequence and offset, and how it was found."""
     rows, sequence, rank = [], 0, Counter()
-    for config, times in planned:
+    for config, times, how in planned:
         offset = 0
         for length, n in Counter(config).items():
-            rows.append((length, rank[length], n, sequence, offset))
+            rows.append((length, rank[length], n, sequence, offset, FOUND.index(how)))
             rank[length] += n * times
             offset += n * length
         sequence += times
-    a = np.array(sorted(rows), np.int64).reshape(-1, 5)
-    return dict(zip(("length", "rank", "each", "sequence", "offset"), a.T.copy()))
+    a = np.array(sorted(rows), np.int64).reshape(-1, 6)
+    return dict(zip(("length", "rank", "each", "sequence", "offset", "found"), a.T.copy()))
 
 
 def place(pieces: DataFrame, key: str = "doc_id", capacity: int = CAPACITY, rounds: int = ROUNDS) -> DataFrame:
-    """``pieces`` (written before) with sequence_id and offset."""
+    """``pieces`` (written before) with sequence_id, offset and found: how the sequence was planned (``plan``)."""
     histogram = {int(r["length"]): int(r["n"]) for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most ``capacity`` rows
     where = slots(plan(histogram, capacity, rounds))
     buckets = int(np.ceil(np.sqrt(max(histogram.values(), default=1))))
@@ -213,10 +216,10 @@ def place(pieces: DataFrame, key: str = "doc_id", capacity: int = CAPACITY, roun
             length, rank = b.column(3).to_numpy(), b.column(5).to_numpy()
             i = np.searchsorted(order, length * big + rank, side="right") - 1
             copy, nth = np.divmod(rank - where["rank"][i], where["each"][i])
-            yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(where["sequence"][i] + copy), pa.array(where["offset"][i] + nth * length)], [*names, "sequence_id", "offset"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(where["sequence"][i] + copy), pa.array(where["offset"][i] + nth * length), pa.array(np.array(FOUND)[where["found"][i]], pa.string())], [*names, "sequence_id", "offset", "found"])
 
     kind = pieces.schema[key].dataType.simpleString()
-    return ranked.mapInArrow(run, f"{key} {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return ranked.mapInArrow(run, f"{key} {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, found string")
 
 
 def best_fit_packing(docs: DataFrame, path: str | None = None, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, rounds: int = ROUNDS) -> DataFrame:

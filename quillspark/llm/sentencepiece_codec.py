@@ -268,7 +268,7 @@ def decode_documents(encoded: DataFrame, path: str | None = None, key: str = "do
 
 
 def _digests(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Encode, decode and digest in one pass over the texts."""
+    """Encode, decode and digest in one pass over the texts; spans as pairs (begin, end) of 64-bit little-endian integers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = load(path)
@@ -279,14 +279,14 @@ def _digests(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text"
                 rows = []
                 for t in part.column(1).to_pylist():
                     ids, spans = codec.encode(t)
-                    rows.append((len(ids), sha(",".join(map(str, ids))), sha(codec.decode(ids)), int((spans[:, 1] - spans[:, 0]).sum()) if len(ids) else 0))
+                    rows.append((len(ids), sha(",".join(map(str, ids))), sha(codec.decode(ids)), int((spans[:, 1] - spans[:, 0]).sum()) if len(ids) else 0, hashlib.sha256(spans.astype("<i8").tobytes()).hexdigest()))
                 cols = list(zip(*rows))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.int64())], [key, "n_tokens", "ids_sha256", "decoded_sha256", "covered_bytes"]
+                    [part.column(0), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.string())], [key, "n_tokens", "ids_sha256", "decoded_sha256", "covered_bytes", "spans_sha256"]
                 )
 
     rows = docs.select(F.col(key), F.col(text).cast("string").alias("_text"))
-    return rows.mapInArrow(run, f"{key} {rows.schema[0].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string, covered_bytes long")
+    return rows.mapInArrow(run, f"{key} {rows.schema[0].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string, covered_bytes long, spans_sha256 string")
 
 
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -38,6 +38,7 @@ class ByteBpe:
         from tokenizers import Tokenizer
 
         self._slow = Tokenizer.from_file(path)
+        self.size = self._slow.get_vocab_size()
         self._fast = None
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)

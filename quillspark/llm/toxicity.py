@@ -12,9 +12,11 @@ A word stands in its window as codes of ``CODE_BYTES`` bytes: digests of its low
 ``PREFIX`` characters. Real words of five or six bytes are too short for zstandard to gain from a reference;
 as codes, each feature that a dictionary has saves the same, and what neither has costs the same under both.
 
-Both dictionaries begin with the features most frequent in the sample, so that common prose costs the same
-under either; each ends with those of its own class whose document rates differ beyond chance, so the
-difference of the lengths is evidence and not noise. Copies are left out of these counts.
+Both dictionaries begin with one that zstandard's trainer makes of both classes' windows, so that common prose costs the
+same under either. Each ends with one that the trainer makes of its own class's windows, which keep the features whose
+document rates differ between the classes beyond chance: what a trainer finds frequent in whole windows is what all
+prose has, and differences of that are noise. Copies are left out of the training. Where the trainer refuses (too few samples), the
+features themselves make the dictionary.
 
 Defined results: null text counts as empty; an empty text scores what the curve gives for no evidence,
 below the threshold. Without labelled rows of both classes every score is 0. Repeated rows score alike.
@@ -39,7 +41,7 @@ from pyspark.sql import functions as F
 from .common import held_out, table
 
 SAMPLE = 1500
-WINDOW = 16
+WINDOW = 32
 DICT_BYTES = 16384
 CODE_BYTES = 16
 PREFIX = 4
@@ -142,16 +144,22 @@ def _telling(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> tuple[lis
     return [w for z, w in sorted(sure) if z > 0], [w for z, w in sorted(sure, reverse=True) if z < 0]
 
 
-def _dictionary(common: list[bytes], telling: list[bytes]) -> bytes:
-    """A raw-content dictionary: the codes common to both, then those of the class (nearest to the data, so cheapest to refer to)."""
-    most = DICT_BYTES // CODE_BYTES // 2
-    return b"".join(code(f) for f in common[-most:] + telling[-most:])
+def _sample_windows(docs: list[list[bytes]], keep) -> list[bytes]:
+    """The windows of the documents' codes, with the features that are to be kept."""
+    out = []
+    for ws in docs:
+        codes = [code(f) for w in ws for f in features(w) if keep(f)]
+        out += [b"".join(codes[i : i + WINDOW]) for i in range(0, len(codes), WINDOW)]
+    return out
 
 
-def _common(docs: list[list[bytes]]) -> list[bytes]:
-    """The features most frequent in both classes together, the most frequent last."""
-    often = Counter(f for ws in docs for w in ws for f in features(w)).most_common(DICT_BYTES // CODE_BYTES // 2)
-    return [f for f, _ in reversed(often)]
+def _trained(windows_: list[bytes], size: int) -> bytes:
+    """What zstandard's trainer makes of windows: segments of one code, the most frequent ones."""
+    try:
+        return zstandard.train_dictionary(size, windows_, k=CODE_BYTES, d=8).as_bytes()
+    except zstandard.ZstdError:
+        codes = Counter(w[i : i + CODE_BYTES] for w in windows_ for i in range(0, len(w), CODE_BYTES))
+        return b"".join(c for c, _ in reversed(codes.most_common(size // CODE_BYTES)))
 
 
 def train(toxic: list[str], ordinary: list[str]) -> ToxicityModel:
@@ -160,9 +168,10 @@ def train(toxic: list[str], ordinary: list[str]) -> ToxicityModel:
         return ToxicityModel(b"", b"", ())
     a, b = 2 * len(toxic) // 3, 2 * len(ordinary) // 3
     first = _unlike(toxic[:a]), _unlike(ordinary[:b])
-    strong, weak = _telling(*first)
-    common = [f for f in _common(first[0] + first[1]) if f not in {*strong, *weak}]
-    model = ToxicityModel(_dictionary(common, strong), _dictionary(common, weak), (0.0,) * 5)
+    strong, weak = map(set, _telling(*first))
+    common = _trained(_sample_windows(first[0] + first[1], lambda f: f not in strong and f not in weak), DICT_BYTES // 2)
+    own = [_trained(_sample_windows(docs, telling.__contains__), DICT_BYTES // 2) for docs, telling in zip(first, (strong, weak))]
+    model = ToxicityModel(common + own[0], common + own[1], (0.0,) * 5)
     s = model.scorer()
     x = np.array([s.signals(t) for t in toxic[a:] + ordinary[b:]])
     y = np.array([1.0] * (len(toxic) - a) + [0.0] * (len(ordinary) - b))
@@ -187,13 +196,17 @@ def train(toxic: list[str], ordinary: list[str]) -> ToxicityModel:
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, key: str = "doc_id", text: str = "text", label: str = "toxic") -> ToxicityModel:
-    """Learns from at most ``sample`` rows of each class that aren't held out, the first by a hash of the id."""
-    marks = labels.select(F.col(key).alias("_id"), F.col(label).cast("int").alias("_y")).filter("_id is not null and _y is not null").dropDuplicates(["_id"])
+    """Learns from at most ``sample`` rows of each class that aren't held out, the first by a hash of the id.
+
+    An id with labels of both classes counts as toxic; of an id with several texts the least is learned from, so what is collected is bounded in rows.
+    """
+    marks = labels.select(F.col(key).alias("_id"), F.col(label).cast("int").alias("_y")).filter("_id is not null and _y is not null").groupBy("_id").agg(F.max("_y").alias("_y"))
     marks = marks.filter(~held_out("_id"))
     # the ids first (bounded), then their texts: the scan of texts meets a broadcast of at most 2 * sample ids
     ranked = [marks.filter(F.col("_y") == y).orderBy(F.xxhash64("_id", F.lit(11)), "_id").limit(sample) for y in (1, 0)]
     chosen = ranked[0].unionByName(ranked[1])
-    rows = docs.select(F.col(key).alias("_id"), F.col(text).alias("_t")).join(F.broadcast(chosen), "_id").filter("_t is not null").orderBy(F.xxhash64("_id", F.lit(11)), "_id", "_t").collect()
+    rows = docs.select(F.col(key).alias("_id"), F.col(text).alias("_t")).join(F.broadcast(chosen), "_id").filter("_t is not null").groupBy("_id", "_y").agg(F.min("_t").alias("_t"))
+    rows = rows.orderBy(F.xxhash64("_id", F.lit(11)), "_id").collect()
     return train([r._t for r in rows if r._y == 1], [r._t for r in rows if r._y == 0])
 
 

@@ -93,6 +93,35 @@ def test_toxicity_learns_words_it_is_shown(spark):
     assert score("") < toxicity.CUT and score(None) == score("")
 
 
+def test_scores_are_those_of_window_lengths(spark, sf_dir):
+    """Scores of 50 rows from plain compression of each window with either trained dictionary."""
+    import math
+
+    import zstandard
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    assert model.toxic != model.ordinary and len(model.toxic) <= toxicity.DICT_BYTES
+    how = zstandard.ZstdCompressionParameters.from_level(1, strategy=zstandard.STRATEGY_FAST, min_match=6, window_log=16, hash_log=15, write_content_size=False, write_dict_id=False)
+    size = lambda d, w: len(zstandard.ZstdCompressor(compression_params=how, dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT)).compress(w))
+    code = lambda f: hashlib.blake2b(f, digest_size=16).digest()
+    some = docs.orderBy("doc_id").limit(50)
+    text = {r.doc_id: r.text for r in some.collect()}
+    for r in toxicity.score_texts(some, model).collect():
+        words = [w.strip(b".,!?;:\"'()[]{}*#") for w in text[r.doc_id].lower().encode().split()]
+        codes = [code(w) + (code(w.decode()[:4].encode() + b"*") if len(w.decode()) > 4 else b"") for w in words if w]
+        gains = [size(model.ordinary, x) - size(model.toxic, x) for x in (b"".join(codes[i : i + toxicity.WINDOW]) for i in range(0, len(codes), toxicity.WINDOW))]
+        gains = [0 if abs(g / 16) < 0.3 else g / 16 for g in gains]
+        signals = [1, max(-4, min(4, max(gains))), math.log1p(max(0, sum(gains))), max(-2, min(2, sum(gains) / len(gains))), max(gains) > 0] if gains else [1, 0, 0, 0, 0]
+        assert r.score == pytest.approx(1 / (1 + math.exp(-sum(a * b for a, b in zip(signals, model.weights)))), abs=1e-9)
+
+
+def test_labels_of_one_id_may_differ(spark):
+    docs = spark.createDataFrame([(i, f"text {i} words") for i in range(8)] * 3, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, t) for i in range(8) for t in (0, 1)], "doc_id long, toxic int")
+    assert toxicity.fit(docs, labels) == toxicity.fit(docs.repartition(3), labels.repartition(5))
+
+
 def test_toxicity_odd(spark, odd, none):
     labels = spark.createDataFrame([(1, 0), (7, 1)], "doc_id long, toxic int")
     model = toxicity.fit(odd, labels)

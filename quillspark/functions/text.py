@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Pairs of characters that recognition confuses, lower-case, the lesser first.
-CONFUSABLE = ["0o", "1i", "1l", "5s", "8b", "2z", "6g", "9g", "9q", "il", "uv", "ce"]
+CONFUSABLE = ["0o", "0q", "1i", "1l", "2z", "5s", "6g", "8b", "9q", "ce", "il", "uv"]
+
+
+def once(value: Column, body) -> Column:
+    """``body`` of the value, which is evaluated once however often ``body`` uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def normalize(text: Column, lower: bool = True, punctuation: bool = True, white_space: bool = True) -> Column:
@@ -24,14 +32,16 @@ def token_core(token: Column) -> Column:
 
 
 def adopt_case(source: Column, term: Column) -> Column:
-    """The term in the letter case of the source: all upper (over one character), all lower, initial upper, else as it is."""
+    """The term in the letter case of the source: all upper (over one character), all lower, initial upper (the rest is lower then), else as it is."""
     upper, lower, first = F.upper(source), F.lower(source), F.substring(source, 1, 1)
-    capital = F.concat(F.upper(F.substring(term, 1, 1)), F.substring(term, F.lit(2), F.length(term)))
+    capital = F.concat(F.upper(F.substring(term, 1, 1)), F.lower(F.substring(term, F.lit(2), F.length(term))))
     return (
-        F.when((source == upper) & (source != lower) & (F.length(source) > 1), F.upper(term))
-        .when(source == lower, F.lower(term)).when((first == F.upper(first)) & (first != F.lower(first)) & (F.substring(source, F.lit(2), F.length(source)) == F.substring(lower, F.lit(2), F.length(source))), capital)
+        F.when(upper == lower, term)
+        .when((source == upper) & (F.length(source) > 1), F.upper(term))
+        .when(source == lower, F.lower(term))
+        .when(first != F.lower(first), capital)
         .otherwise(term)
-    )
+    )
 
 
 def delete_variants(term: Column, distance: int = 1) -> Column:
@@ -74,7 +84,7 @@ def split_words(line: Column, x0: Column, width: Column) -> Column:
 
 
 def xml_escape(text: Column) -> Column:
-    for raw, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;")):
+    for raw, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&apos;")):
         text = F.replace(text, F.lit(raw), F.lit(name))
     return text
 
@@ -84,3 +94,88 @@ def csv_field(text: Column, delimiter: str = ",") -> Column:
     needs = text.contains(delimiter) | text.contains('"') | text.contains("\r") | text.contains("\n")
     return F.when(needs, F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(text)
 
+
+def unicode_form(text: Column, form: str = "NFKC") -> Column:
+    """The text in a Unicode normal form."""
+    @F.pandas_udf("string")
+    def run(x: pd.Series) -> pd.Series:
+        return x.map(lambda v: None if v is None else unicodedata.normalize(form, v))
+
+    return run(text)
+
+
+def units(text: Column, unit: str = "grapheme") -> Column:
+    """The text's graphemes, runes (code points), UTF-16 units (as hexadecimal numbers) or words, as an array."""
+    if unit == "grapheme":
+        return F.regexp_extract_all(text, F.lit(r"\X"), F.lit(0))
+    if unit == "rune":
+        return F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))
+    if unit == "utf16":
+        return F.regexp_extract_all(F.hex(F.encode(text, "UTF-16BE")), F.lit("[0-9A-F]{4}"), F.lit(0))
+    if unit == "word":
+        return F.regexp_extract_all(text, F.lit(r"(?U)\S+"), F.lit(0))
+    raise ValueError(f"no unit is named {unit}")
+
+
+def spans(text: Column, pattern: str, keep=None) -> Column:
+    """(start, end, value) of every match that is not empty and that ``keep`` accepts; offsets in code points, ends exclusive."""
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    pairs = F.filter(F.zip_with(F.split(text, pattern, -1), found, lambda g, m: F.struct(F.length(g).alias("gap"), m.alias("value"))), lambda p: p["value"].isNotNull())
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("out"))
+
+    def step(acc: Column, p: Column) -> Column:
+        start = acc["at"] + p["gap"]
+        end = start + F.length(p["value"])
+        return F.struct(end.alias("at"), F.array_append(acc["out"], F.struct(start.alias("start"), end.alias("end"), p["value"].alias("value"))).alias("out"))
+
+    out = F.aggregate(pairs, zero, step, lambda acc: acc["out"])
+    return F.filter(out, lambda x: (x["value"] != "") & (keep(x["value"]) if keep else F.lit(True)))
+
+
+def word_spans(text: Column) -> Column:
+    return spans(text, r"(?U)\S+")
+
+
+def keyword_spans(text: Column, keyword: str, case_sensitive: bool = False) -> Column:
+    return spans(text, ("" if case_sensitive else "(?i)") + "".join("\\" + c if not c.isalnum() and c.isascii() else c for c in keyword))
+
+
+def touched(words: Column, matches: Column) -> Column:
+    """The words (spans) that overlap a match: half-open spans."""
+    return F.filter(words, lambda w: F.exists(matches, lambda m: (m["start"] < w["end"]) & (w["start"] < m["end"])))
+
+
+def mask_spans(text: Column, matches: Column, mask: str = "█") -> Column:
+    """Every character inside a match replaced; matches may overlap."""
+    hidden = lambda i: F.exists(matches, lambda m: (i >= m["start"]) & (i < m["end"]))
+    runes = units(text, "rune")
+    return F.when(F.size(matches) == 0, text).otherwise(F.array_join(F.transform(runes, lambda c, i: F.when(hidden(i), F.lit(mask)).otherwise(c)), ""))
+
+
+def languages(codes: Column) -> Column:
+    """Codes without blanks, trimmed, in lower case, each once; an error if none is left."""
+    out = F.array_distinct(F.filter(F.transform(codes, lambda c: F.lower(F.trim(c))), lambda c: c != ""))
+    return F.when(F.size(out) == 0, F.raise_error(F.lit("no language is given")).cast("array<string>")).otherwise(out)
+
+
+def allowed_characters(characters: str, allow: str | None = None, block: str | None = None) -> list[bool] | None:
+    """Which characters of a vocabulary may be read: those of ``allow``, else all but those of ``block``; None for no mask."""
+    if allow:
+        return [c in allow for c in characters]
+    return [c not in block for c in characters] if block else None
+
+
+def byte_size(n: Column) -> Column:
+    """A number of bytes for reading, with one place behind the point from a KiB on."""
+    k = n.cast("double") / 1024
+    return F.when(n < 1024, F.format_string("%d B", n.cast("long"))).when(k < 1024, F.format_string("%.1f KB", k)).when(k < 1024**2, F.format_string("%.1f MB", k / 1024)).otherwise(F.format_string("%.1f GB", k / 1024**2))
+
+
+def fraction(done: Column, total: Column) -> Column:
+    """Progress from 0 to 1; null where the total is not known."""
+    return F.when(total > 0, F.least(F.lit(1.0), F.greatest(F.lit(0.0), done / total)))
+
+
+def explanation(anchor: Column, similarity: Column, kind: Column, distance: Column, score: Column) -> Column:
+    """Why a field's value was taken, in a line."""
+    return F.format_string("'%s' matched at %.2f similarity; value taken %s at %.2f line-heights; score %.3f.", F.coalesce(anchor, F.lit("(none)")), similarity, kind, distance, score)

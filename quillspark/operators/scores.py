@@ -26,3 +26,8 @@ def dominant_packs(readings: DataFrame, boxes: int = 5, floor: float = 0.35, sha
     scored = seen.groupBy("page", "pack").agg(F.round(F.avg("conf"), 6).alias("score"))
     best = F.max("score").over(Window.partitionBy("page"))
     return scored.withColumn("best", best).filter((F.col("best") > 0) & (F.col("score") >= F.greatest(F.lit(floor), F.lit(share) * F.col("best")))).drop("best")
+
+
+def confident(readings: DataFrame, confidence: str, least: float) -> DataFrame:
+    """Readings of at least that confidence."""
+    return readings.filter(F.col(confidence) >= least)

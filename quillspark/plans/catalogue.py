@@ -186,12 +186,12 @@ def lexicon_lookup(spark, d):
 
 
 @query(
-    "WITH p AS (SELECT lower(left(p_name, 1)) AS a, lower(substr(p_name, 2, 1)) AS b FROM part UNION ALL SELECT 'o', '0' UNION ALL SELECT 'S', '5' UNION ALL SELECT 'x', 'y') "
-    f"SELECT a, b, count(*) AS n, least(lower(a), lower(b)) || greatest(lower(a), lower(b)) IN ({', '.join(repr(x) for x in text.CONFUSABLE)}) AS confusable FROM p GROUP BY a, b"
+    "WITH p AS (SELECT lower(left(p_name, 1)) AS a, lower(substr(p_name, 2, 1)) AS b FROM part UNION ALL SELECT 'o', '0' UNION ALL SELECT 'S', '5' UNION ALL SELECT 'x', 'y' UNION ALL SELECT 'Q', '0' UNION ALL SELECT '9', 'g') "
+    "SELECT a, b, count(*) AS n, least(lower(a), lower(b)) || greatest(lower(a), lower(b)) IN ('0o', '0q', '1i', '1l', '2z', '5s', '6g', '8b', '9q', 'ce', 'il', 'uv') AS confusable FROM p GROUP BY a, b"
 )
 def confusable_pairs(spark, d):
     pairs = table(spark, d, "part").select(F.lower(F.substring("p_name", 1, 1)).alias("a"), F.lower(F.substring("p_name", 2, 1)).alias("b"))
-    pairs = pairs.unionAll(spark.createDataFrame([("o", "0"), ("S", "5"), ("x", "y")], "a string, b string"))
+    pairs = pairs.unionAll(spark.createDataFrame([("o", "0"), ("S", "5"), ("x", "y"), ("Q", "0"), ("9", "g")], "a string, b string"))
     return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).withColumn("confusable", text.is_confusable(F.col("a"), F.col("b")))
 
 
@@ -204,13 +204,14 @@ def _tokens(spark, d) -> DataFrame:
     SELECT regexp_extract(token, '^[^\p{L}\p{Nd}]*(.*?)[^\p{L}\p{Nd}]*$', 1) AS core, count(*) AS n FROM t WHERE token <> '' GROUP BY 1"""
 )
 def token_core(spark, d):
-    return _tokens(spark, d).groupBy(text.token_core(F.col("token")).alias("core")).agg(F.count(F.lit(1)).alias("n"))
+    often = _tokens(spark, d).groupBy("token").agg(F.count(F.lit(1)).alias("n"))  # an expression runs once for a distinct token
+    return often.groupBy(text.token_core(F.col("token")).alias("core")).agg(F.sum("n").alias("n"))
 
 
 @query(
     """WITH t AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z]+')) AS source FROM documents)
     SELECT source, CASE WHEN source = upper(source) AND length(source) > 1 THEN 'INVOICE' WHEN source = lower(source) THEN 'invoice'
-      WHEN left(source, 1) = upper(left(source, 1)) AND substr(source, 2) = lower(substr(source, 2)) THEN 'Invoice' ELSE 'invoice' END AS adopted FROM t"""
+      WHEN left(source, 1) = upper(left(source, 1)) THEN 'Invoice' ELSE 'invoice' END AS adopted FROM t"""
 )
 def case_adopt(spark, d):
     words = table(spark, d, "documents").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))).alias("source")).distinct()
@@ -265,7 +266,7 @@ def rotate_back(spark, d):
 def roi_filter(spark, d):
     """Boxes inside a region given in fractions of a 1200 x 300 page, moved to its origin."""
     left, top, right, bottom = geometry.resolve_region(*(F.lit(v) for v in (0.1, 0.1, 0.6, 0.6)), F.lit(1200), F.lit(300))
-    inside = (F.col("x0") >= left) & (F.col("y0") >= top) & (F.col("x0") + F.col("w") <= right) & (F.col("y0") + F.col("h") <= bottom)
+    inside = geometry.is_region(left, top, right, bottom) & (F.col("x0") >= left) & (F.col("y0") >= top) & (F.col("x0") + F.col("w") <= right) & (F.col("y0") + F.col("h") <= bottom)
     return boxes(spark, d).filter(inside).select("page", "box_id", (F.col("x0") - left).alias("x"), (F.col("y0") - top).alias("y"))
 
 
@@ -448,7 +449,7 @@ def csv_rows(spark, d):
     return table(spark, d, "documents").select("doc_id", F.sha2(row, 256).alias("csv"))
 
 
-@query("SELECT doc_id, sha256(replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;')) AS xml FROM documents")
+@query("SELECT doc_id, sha256(replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&apos;')) AS xml FROM documents")
 def xml_escape(spark, d):
     return table(spark, d, "documents").select("doc_id", F.sha2(text.xml_escape(F.col("text")), 256).alias("xml"))
 
@@ -529,19 +530,22 @@ def grey_percentile(spark, d):
 # --- rows only -------------------------------------------------------------------------------------------
 
 
-@query()
+@query(
+    """WITH c AS (SELECT p_partkey, CAST(length(p_name) AS INT) AS n, CAST(length(p_name) - length(replace(p_name, 'a', '')) AS INT) AS a, CAST(length(p_name) - length(replace(p_name, 'e', '')) AS INT) AS e, CAST(len(list_filter(string_split(p_name, ' '), lambda w: regexp_matches(w, '[ae]'))) AS INT) AS w FROM part)
+    SELECT p_partkey, n - a - e AS hits, a AS substitutions, CAST(0 AS INT) AS insertions, e AS deletions, w AS word_substitutions FROM c"""
+)
 def align_counts(spark, d):
     seen = F.replace(F.replace("p_name", F.lit("a"), F.lit("o")), F.lit("e"), F.lit(""))
     return table(spark, d, "part").select("p_partkey", metrics.align_characters(F.col("p_name"), seen).alias("c"), metrics.align_words(F.col("p_name"), seen).alias("w")).select("p_partkey", "c.*", F.col("w.substitutions").alias("word_substitutions"))
 
 
-@query()
+@query("SELECT p_partkey, round(0.4 * (length(p_name) - length(replace(p_name, 'm', ''))) + 0.3 * (length(p_name) - length(replace(p_name, 'l', ''))), 6) AS distance FROM part")
 def weighted_distance(spark, d):
     seen = F.replace(F.replace("p_name", F.lit("m"), F.lit("rn")), F.lit("l"), F.lit("1"))
     return table(spark, d, "part").select("p_partkey", F.round(metrics.weighted_distance_of(F.col("p_name"), seen), 6).alias("distance"))
 
 
-@query()
+@query("""SELECT p_partkey, '[["key","name"],["' || p_partkey || '","' || p_name || '"],["' || p_partkey || '","' || p_brand || '"]]' AS rows, true AS has_header FROM part""")
 def table_grid(spark, d):
     html = F.concat(F.lit("<table><tr><th>key<th>name</tr><tr><td rowspan=2>"), F.col("p_partkey").cast("string"), F.lit("<td>"), F.col("p_name"), F.lit("</tr><tr><td>"), F.col("p_brand"), F.lit("</table>"))
     return table(spark, d, "part").select("p_partkey", tables.table_grid(html).alias("t")).select("p_partkey", F.to_json("t.rows").alias("rows"), "t.has_header")

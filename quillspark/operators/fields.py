@@ -177,7 +177,9 @@ def candidates(lines: DataFrame, fields: tuple[Field, ...], page: str = "page")
     own = F.col("box")["max_y"] - F.col("box")["min_y"]
     sizes = F.array_sort(F.collect_list(F.when(own > 0, own)).over(heights))
     upper_median = F.coalesce(F.get(sizes, F.floor(F.size(sizes) / 2).cast("int")), F.lit(1.0))
-    rows = lines.repartition(page).withColumn("_height", F.when(own > 0, own).otherwise(upper_median)).withColumn("_words", tokens(F.col("text")))
+    # the work on a page is more than its bytes tell, so its partitions are not joined by their size
+    parts = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = lines.repartition(parts, page).withColumn("_height", F.when(own > 0, own).otherwise(upper_median)).withColumn("_words", tokens(F.col("text")))
     hits = F.array(*(F.struct(F.lit(i).alias("no"), anchor(F.col("text"), F.col("_words"), f).alias("hit")) for i, f in enumerate(fields)))
     anchors = rows.select(F.col(page).alias("_page"), F.col("line_no").alias("anchor_line"), F.col("box").alias("_box"), "_height", F.col("text").alias("_text"), F.explode(F.filter(hits, lambda h: h["hit"].isNotNull())).alias("_h"))
     pick = lambda make: reduce(lambda rest, x: F.when(F.col("_h.no") == x[0], make(x[1])).otherwise(rest), enumerate(fields), F.lit(None))

@@ -136,25 +136,25 @@ def mrz_repair(spark, d):
 
 
 def invoice_lines(spark, d) -> DataFrame:
-    """Ten lines for each order: labels at the left, values beside, behind or below them."""
-    k, price = F.col("o_orderkey"), F.round("o_totalprice", 2).cast("decimal(18,2)")
+    """Ten lines for each customer: labels at the left, values beside, behind or below them."""
+    k, price = F.col("c_custkey"), (F.round(F.abs("c_acctbal"), 2) + 10).cast("decimal(18,2)")
     rows = [
         (F.when(k % 3 == 1, "lnvoice N0").otherwise("Invoice No"), 100, 100), (F.concat(F.lit("INV-"), _s(k)), 230, 100),
-        (F.concat(F.lit("Invoice Date: "), F.date_format("o_orderdate", "yyyy-MM-dd")), 100, 130),
+        (F.concat(F.lit("Invoice Date: "), F.date_add(F.lit("1995-01-01").cast("date"), (k % 2000).cast("int")).cast("string")), 100, 130),
         (F.lit("Subtotal"), 100, 160), (F.concat(F.lit("$"), _s(price)), 230, 160),
         (F.when(k % 2 == 0, "T0tal :").otherwise("TOTAL"), 100, 190), (F.concat(F.lit("$"), _s((price + 5).cast("decimal(18,2)"))), 230, 190),
-        (F.lit("Bill To"), 100, 220), (F.concat(F.lit("Customer "), _s("o_custkey")), 100, 250), (F.lit("Long Street"), 100, 280),
+        (F.lit("Bill To"), 100, 220), (F.concat(F.lit("Customer "), _s(k)), 100, 250), (F.lit("Long Street"), 100, 280),
     ]
     box = lambda x, y: F.struct(*(F.lit(float(v)).alias(c) for c, v in (("min_x", x), ("min_y", y), ("max_x", x + 120), ("max_y", y + 20))))
     lines = F.array(*(F.struct(F.lit(i).alias("line_no"), t.alias("text"), F.lit(0.9).alias("confidence"), box(x, y).alias("box")) for i, (t, x, y) in enumerate(rows)))
-    return table(spark, d, "orders").select(k.alias("page"), F.explode(lines).alias("l")).select("page", "l.*")
+    return table(spark, d, "customer").select(k.alias("page"), F.explode(lines).alias("l")).select("page", "l.*")
 
 
 _BILL_TO = fields.Field("BillTo", ("Bill To",), directions=fields.BELOW, max_lines=2)
 
 
 @query(
-    """WITH o AS (SELECT o_orderkey AS page, CAST(round(o_totalprice, 2) AS DECIMAL(18, 2)) AS p, o_orderdate AS d, o_custkey AS c FROM orders)
+    """WITH o AS (SELECT c_custkey AS page, CAST(round(abs(c_acctbal), 2) + 10 AS DECIMAL(18, 2)) AS p, DATE '1995-01-01' + CAST(c_custkey % 2000 AS INT) AS d, c_custkey AS c FROM customer)
     SELECT page, 'InvoiceNumber' AS name, 'INV-' || page AS value, 'Right' AS kind, 1 AS n_lines FROM o UNION ALL SELECT page, 'InvoiceDate', strftime(d, '%Y-%m-%d'), 'Inline', 1 FROM o
     UNION ALL SELECT page, 'Subtotal', '$' || p, 'Right', 1 FROM o UNION ALL SELECT page, 'Total', '$' || CAST(p + 5 AS DECIMAL(18, 2)), 'Right', 1 FROM o UNION ALL SELECT page, 'BillTo', 'Customer ' || c || ' Long Street', 'Below', 2 FROM o""".replace("1 AS n_lines", "CAST(1 AS BIGINT) AS n_lines")
 )
@@ -165,7 +165,7 @@ def invoice_fields(spark, d):
 
 
 @query(
-    """SELECT o_orderkey AS page, 'INV-' || o_orderkey AS number, '$' || CAST(CAST(round(o_totalprice, 2) AS DECIMAL(18, 2)) + 5 AS DECIMAL(18, 2)) AS total, CAST(2 AS INT) AS n FROM orders"""
+    """SELECT c_custkey AS page, 'INV-' || c_custkey AS number, '$' || CAST(CAST(round(abs(c_acctbal), 2) + 10 AS DECIMAL(18, 2)) + 5 AS DECIMAL(18, 2)) AS total, CAST(2 AS INT) AS n FROM customer"""
 )
 def invoice_values(spark, d):
     """The first value of each name."""

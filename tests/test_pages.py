@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import re
 
 import duckdb
 import numpy as np
@@ -221,3 +222,33 @@ def test_planted_cards_are_found(spark):
     line = " ".join(str(rng.randrange(100)) for _ in range(5)) + ", card 4111-1111-1111-1111."
     masked = spark.createDataFrame([(line,)], "v string").select(text.mask_matches(F.col("v"), page_queries.CARD, lambda m: F.length(m) > 15).alias("r")).first().r
     assert masked.endswith("card " + "█" * 19 + ".")
+
+
+def _cards(line):
+    """Brute force: (start, end) of the card numbers in a text."""
+    groups = [m.span() for m in re.finditer("[0-9]+", line)]
+    luhn = lambda d: sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(d))) % 10 == 0
+    digits = lambda i, j: "".join(line[a:b] for a, b in groups[i : j + 1])
+    joined = lambda i, j: all(line[groups[k][1] : groups[k + 1][0]] in (" ", "-") for k in range(i, j))
+    fits = lambda i, j: 13 <= len(digits(i, j)) <= 19 and luhn(digits(i, j)) and joined(i, j)
+    alone, out, i = {k for k in range(len(groups)) if fits(k, k)}, [], 0
+    while i < len(groups):
+        ends = [j for j in range(min(len(groups), i + 19) - 1, i - 1, -1) if fits(i, j) and (i == j or not alone & set(range(i, j + 1)))]
+        if ends:
+            out.append((groups[i][0], groups[ends[0]][1]))
+        i = ends[0] + 1 if ends else i + 1
+    return out
+
+
+def _card_texts():
+    rng = random.Random(4)
+    bits = ["4111 1111 1111 1111", "4111111111111111", "5500-0000-0000-0004", "378282246310005", "4451718024887799", "27.65.9", "12/27", "123", "7", "(836) 555-9331", "x", "é█", "4111111111111112", "- 1", "--2", "\n"]
+    made = ["".join(rng.choice(bits) + rng.choice(["", " ", " ", "-", "  ", ", "]) for _ in range(rng.randrange(1, 7))) for _ in range(300)]
+    return made + ["4451718024887799 27.65.93", "4.106.61 4080166431094600 E", "card 4111 1111 1111 1111 12/27", "4111111111111111 123", "po 4111 1111 1111", "1 " * 3000, "9" * 3000, "", None]
+
+
+def test_cards_beside_other_numbers(spark, tmp_path):
+    given = _card_texts()
+    spark.createDataFrame(list(enumerate(given)), "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.n_cards for r in catalogue.redact_card(spark, str(tmp_path)).collect()}
+    assert got == {i: len(_cards(t)) for i, t in enumerate(given) if t and _cards(t)} and got[300] == got[301] == got[302] == got[303] == 1

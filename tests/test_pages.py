@@ -1,5 +1,6 @@
 """Page operators on literals and against brute force."""
 
+import hashlib
 import itertools
 import random
 import re
@@ -252,3 +253,16 @@ def test_cards_beside_other_numbers(spark, tmp_path):
     spark.createDataFrame(list(enumerate(given)), "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: r.n_cards for r in catalogue.redact_card(spark, str(tmp_path)).collect()}
     assert got == {i: len(_cards(t)) for i, t in enumerate(given) if t and _cards(t)} and got[300] == got[301] == got[302] == got[303] == 1
+
+
+def test_cards_are_masked(spark, tmp_path):
+    given = _card_texts()
+    spark.createDataFrame(list(enumerate(given)), "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    want = set()
+    for i, t in enumerate(given):
+        if t and _cards(t):
+            hidden = {k for a, b in _cards(t) for k in range(a, b)}
+            want.add((i, len(_cards(t)), hashlib.sha256("".join("█" if k in hidden else c for k, c in enumerate(t)).encode()).hexdigest()))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert set(map(tuple, catalogue.redact_card(spark, str(tmp_path)).collect())) == want == set(con.sql(catalogue.ORACLE["redact_card"]).fetchall())

@@ -266,3 +266,24 @@ def test_cards_are_masked(spark, tmp_path):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
     assert set(map(tuple, catalogue.redact_card(spark, str(tmp_path)).collect())) == want == set(con.sql(catalogue.ORACLE["redact_card"]).fetchall())
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pages_move_their_rows_once(spark, sf_dir):
+    for query in (page_queries.page_hocr, page_queries.page_alto, page_queries.page_tsv):
+        plan = _plan(query(spark, sf_dir))
+        assert plan.count("Exchange hashpartitioning") == 1 and plan.count("xpath") == 0
+
+
+def test_lines_and_words_become_pages(spark):
+    box = "box struct<min_x:double,min_y:double,max_x:double,max_y:double>"
+    lines = spark.createDataFrame([(1, 2, (0.0, 30.0, 9.5, 40.0)), (1, 1, (0.0, 0.0, 8.0, 10.0)), (2, 1, (1.0, 1.0, 2.0, 2.0))], f"page long, line_no int, {box}")
+    words = spark.createDataFrame([(1, 1, 2, "b", 1.0, (4.0, 0.0, 8.0, 10.0)), (1, 1, 1, "a<", 0.12345, (0.0, 0.0, 3.0, 10.0)), (1, 7, 1, "lost", 0.5, (0.0, 0.0, 1.0, 1.0)), (2, 1, 1, "c", 0.0, (1.0, 1.0, 2.0, 2.0))], f"page long, line_no int, word_no int, text string, conf double, {box}")
+    one = {r.page: r for r in exports.hocr(lines, words).join(exports.alto(lines, words), "page").join(exports.tsv(lines, words), "page").collect()}
+    assert _plan(exports.alto(lines, words)).count("Exchange hashpartitioning") == 1
+    assert "bbox 0 0 10 40" in one[1].hocr and one[1].hocr.index("line_1'") < one[1].hocr.index(">a&lt;<") < one[1].hocr.index(">b<") < one[1].hocr.index("line_2'") and "lost" not in one[1].hocr
+    assert [x in one[1].alto for x in ('WC="0.123" CONTENT="a&lt;"', 'WC="1" CONTENT="b"')] == [True, True] and 'WC="0" CONTENT="c"' in one[2].alto
+    assert one[1].tsv.split("\n")[1:] == ["5\t1\t1\t1\t1\t1\t0\t0\t3\t10\t12\ta<", "5\t1\t1\t1\t1\t2\t4\t0\t4\t10\t100\tb", ""]

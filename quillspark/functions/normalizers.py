@@ -42,22 +42,31 @@ def normalize_date(text: Column, order: str = "auto", form: str = "yyyy-MM-dd")
     Of itself a first number of four places is the year; of the others the one over 12 is the day, and the day comes first where
     neither is. Years of two places up to 68 are of this century, later ones of the last. Three true digits make a date.
     """
-    t = _trimmed(text)
-    part = [F.regexp_extract(t, DATE, i) for i in (1, 3, 4)]
-    places = [F.length(p) for p in part]
-    year_first = places[0] == 4
-    shaped = t.rlike(DATE) & F.when(year_first, places[2] <= 2).otherwise(places[2].isin(2, 4)) & (F.length(F.regexp_replace(t, "[^0-9]", "")) >= 3)
-    a, b, c = (F.when(to_digits(p).rlike("^[0-9]+$"), to_digits(p).cast("int")) for p in part)
-    if order == "auto":
-        month_first = ~year_first & (b > 12) & (a <= 12)
-    else:
-        year_first, month_first = F.lit(order == "ymd"), F.lit(order == "mdy")
-    year = F.when(year_first, a).otherwise(c)
-    month = F.when(month_first, a).otherwise(b)
-    day = F.when(year_first, c).when(month_first, b).otherwise(a)
-    year = F.when(year <= 68, year + 2000).when(year < 100, year + 1900).otherwise(year)
-    value = F.date_format(F.try_to_date(F.format_string("%04d-%02d-%02d", year, month, day), "yyyy-MM-dd"), form)
-    return _outcome(shaped, value, t)
+    three_digits = "(?:[^0-9]*[0-9]){3}"
+
+    def parts(t: Column) -> Column:
+        cells = F.split(F.when(t.rlike(DATE) & t.rlike(three_digits), t), "[./-]")
+        return once(cells, lambda c: F.struct(t.alias("t"), *(x for i, n in enumerate("abc") for x in (F.get(c, F.lit(i)).alias(n), F.length(F.get(c, F.lit(i))).alias(f"l{n}")))))
+
+    def numbers(x: Column) -> Column:
+        year_first = x["la"] == 4
+        shaped = F.when(year_first, x["lc"] <= 2).otherwise(x["lc"].isin(2, 4))
+        return F.struct(x["t"].alias("t"), F.coalesce(shaped, F.lit(False)).alias("shaped"), year_first.alias("year_first"), *(to_digits(x[n]).try_cast("int").alias(n) for n in "abc"))
+
+    def outcome(x: Column) -> Column:
+        a, b, c, year_first = x["a"], x["b"], x["c"], x["year_first"]
+        if order == "auto":
+            month_first = ~year_first & (b > 12) & (a <= 12)
+        else:
+            year_first, month_first = F.lit(order == "ymd"), F.lit(order == "mdy")
+        year = F.when(year_first, a).otherwise(c)
+        month = F.when(month_first, a).otherwise(b)
+        day = F.when(year_first, c).when(month_first, b).otherwise(a)
+        year = once(year, lambda y: F.when(y <= 68, y + 2000).when(y < 100, y + 1900).otherwise(y))
+        value = F.try_to_date(F.concat_ws("-", *(F.when(n < 10**w, F.lpad(n.cast("string"), w, "0")) for n, w in ((year, 4), (month, 2), (day, 2)))), "yyyy-MM-dd")
+        return F.when(x["shaped"], once(F.date_format(value, form), lambda v: _outcome(F.lit(True), v, x["t"])))
+
+    return once(once(once(_trimmed(text), parts), numbers), outcome)
 
 
 def normalize_amount(text: Column, keep_mark: bool = True) -> Column:

@@ -305,3 +305,18 @@ def test_one_row_group_is_spread(spark, sf_dir, name):
 def test_card_texts_are_spread_and_made_once(spark, sf_dir):
     plan = _plan(page_queries.redact_card_text(spark, sf_dir))
     assert "RoundRobinPartitioning" in plan and plan.count("lpad(") == 1
+
+
+def test_dates_are_spread_and_made_once(spark, sf_dir):
+    plan = _plan(page_queries.date_repair(spark, sf_dir))
+    assert "RoundRobinPartitioning" in plan and plan.count("31.02.") == 1
+    assert values(spark, lambda c: normalizers.normalize_date(c, "mdy"), ["1234/5/20", "L/2/2020", "12/1234"]) == [("invalid", "1234/5/20"), ("invalid", "L/2/2020"), None]
+
+
+def test_weighted_distances_of_many(spark, sf_dir):
+    rng = random.Random(9)
+    letters = "rnmcldvwio0O1lIzZ2é İKſΣaRN"
+    word = lambda: "".join(rng.choice(letters) for _ in range(rng.randrange(9)))
+    pairs = [(word(), word()) for _ in range(2000)] + [("x" * 90, "yx" * 30), ("rn" * 40, "m" * 50)]
+    assert list(metrics.weighted_distances(pairs)) == [metrics.weighted_distance(*p) for p in pairs]
+    assert "RoundRobinPartitioning" in _plan(catalogue.weighted_distance(spark, sf_dir))

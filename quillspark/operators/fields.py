@@ -107,21 +107,28 @@ def anchor(text: Column, words: Column, f: Field) -> Column:
         """The runs of n words, without blanks, with their places and ends."""
         starts = F.filter(F.sequence(F.lit(0), F.greatest(F.size(words) - n, F.lit(0))), lambda i: i + n <= F.size(words))
         run = lambda i: F.get(words, i)["word"] if n == 1 else F.array_join(F.transform(F.slice(words, i + 1, F.lit(n)), lambda t: t["word"]), "")
-        return F.transform(starts, lambda i: F.struct(run(i).alias("t"), i.alias("i"), F.get(words, i + n - 1)["end"].alias("end")))
+        made = F.transform(starts, lambda i: F.struct(run(i).alias("t"), i.alias("i"), F.get(words, i + n - 1)["end"].alias("end")))
+        return F.transform(made, lambda w: F.struct(F.length(w["t"]).alias("n"), *(w[c].alias(c) for c in ("t", "i", "end"))))
 
-    def of(runs: Column, no: int, name: str, needle: str, n: int) -> Column:
-        # the difference of the lengths alone bounds the similarity
-        near = F.filter(runs[f"w{n}"], lambda w: F.abs(F.length(w["t"]) - len(needle)) <= F.greatest(F.length(w["t"]), F.lit(len(needle))) * (1 - least) + 1e-9)
-        return F.transform(near, lambda w: F.struct(similarity(F.lit(needle), w["t"]).alias("s"), (-(w["i"] + 1000 * no)).cast("int").alias("order"), w["end"].alias("end"), F.lit(name).alias("anchor")))
+    def of(n: int) -> Column:
+        """The needles of n words that a run is long enough for: the difference of the lengths alone bounds the similarity."""
+        reach = lambda k: (int(k * least) - 1, int(k / least) + 1 if least else 2**30)
+        rows = [(no, name, needle, *reach(len(needle))) for no, (name, needle, size) in enumerate(needles) if size == n]
+        listed = F.array(*(F.struct(*(F.lit(v).alias(c) for c, v in zip(("no", "name", "needle", "lo", "hi"), r))) for r in rows))
 
-    def best_of(runs: Column) -> Column:
-        tried = F.concat(*(of(runs, no, *needle) for no, needle in enumerate(needles)))
+        def tried(w: Column) -> Column:
+            near = F.filter(listed, lambda x: (x["lo"] <= w["n"]) & (x["hi"] >= w["n"]))
+            return F.transform(near, lambda x: F.struct(similarity(x["needle"], w["t"]).alias("s"), (-(w["i"] + 1000 * x["no"])).cast("int").alias("order"), w["end"].alias("end"), x["name"].alias("anchor")))
+
+        return F.flatten(F.transform(windows(n), tried))
+
+    def best_of(tried: Column) -> Column:
         best = F.array_max(F.filter(tried, lambda t: (t["s"] >= least) & (t["s"] > 0)))
         return once(best, lambda b: F.when(b.isNotNull(), F.struct(b["s"].alias("similarity"), b["end"].alias("end"), b["anchor"].alias("anchor"))))
 
     found = F.lit(None).cast("struct<similarity:double,end:int,anchor:string>")
     if needles:
-        found = once(F.struct(*(windows(n).alias(f"w{n}") for n in sizes)), best_of)
+        found = once(F.concat(*map(of, sizes)), best_of)
     for pattern in reversed(f.patterns):
         end = F.length(F.get(F.split(text, pattern, 2), F.lit(0))) + F.length(F.regexp_extract(text, pattern, 0))
         by_pattern = F.struct(F.lit(1.0).alias("similarity"), end.alias("end"), F.regexp_extract(text, pattern, 0).alias("anchor"))
@@ -171,6 +178,11 @@ def score(similar: Column, distance: Column, offset: Column, coverage: Column, k
     return inside(mean * bias)
 
 
+def _with(rows: DataFrame, name: str, value: Column) -> DataFrame:
+    """``withColumn`` of a costly value that is then filtered: it is worked out once, not in the filter and again behind it."""
+    return rows.select("*", F.explode_outer(F.array(value)).alias(name)).filter(F.col(name).isNotNull())
+
+
 def candidates(lines: DataFrame, fields: tuple[Field, ...], page: str = "page") -> DataFrame:
     """(page, field_no, anchor_line, value_line (-1: inline), kind, value, score, distance, similarity, anchor, height) of every value that any field may take."""
     heights = Window.partitionBy(page)
@@ -181,7 +193,7 @@ def candidates(lines: DataFrame, fields: tuple[Field, ...], page: str = "page")
     parts = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = lines.repartition(parts, page).withColumn("_height", F.when(own > 0, own).otherwise(upper_median)).withColumn("_words", tokens(F.col("text")))
     hits = F.array(*(F.struct(F.lit(i).alias("no"), anchor(F.col("text"), F.col("_words"), f).alias("hit")) for i, f in enumerate(fields)))
-    anchors = rows.select(F.col(page).alias("_page"), F.col("line_no").alias("anchor_line"), F.col("box").alias("_box"), "_height", F.col("text").alias("_text"), F.explode(F.filter(hits, lambda h: h["hit"].isNotNull())).alias("_h"))
+    anchors = rows.select(F.col(page).alias("_page"), F.col("line_no").alias("anchor_line"), F.col("box").alias("_box"), "_height", F.col("text").alias("_text"), F.explode_outer(F.filter(hits, lambda h: h["hit"].isNotNull())).alias("_h")).filter("_h is not null")
     pick = lambda make: reduce(lambda rest, x: F.when(F.col("_h.no") == x[0], make(x[1])).otherwise(rest), enumerate(fields), F.lit(None))
     shared = ["_page", F.col("_h.no").alias("field_no"), "anchor_line"]
     told = [F.col("_h.hit.similarity").alias("similarity"), F.col("_h.hit.anchor").alias("anchor"), F.col("_height").alias("height"), F.col("_box").alias("anchor_box")]
@@ -189,14 +201,14 @@ def candidates(lines: DataFrame, fields: tuple[Field, ...], page: str = "page")
 
     behind = F.ltrim(F.substring(F.col("_text"), F.col("_h.hit.end") + 1, F.length("_text")), F.lit(SEPARATORS))
     zero = F.lit(0.0)
-    inline = anchors.withColumn("_v", pick(lambda f: clean_value(behind, f) if f.directions & SAME_LINE else F.lit(None).cast("struct<value:string,coverage:double>")))
-    inline = inline.withColumn("_score", pick(lambda f: score(similar, zero, zero, F.col("_v.coverage"), F.lit("Inline"), f))).filter("_v is not null")
+    inline = _with(anchors, "_v", pick(lambda f: clean_value(behind, f) if f.directions & SAME_LINE else F.lit(None).cast("struct<value:string,coverage:double>")))
+    inline = inline.withColumn("_score", pick(lambda f: score(similar, zero, zero, F.col("_v.coverage"), F.lit("Inline"), f)))
     inline = inline.select(*shared, F.lit(-1).alias("value_line"), F.lit("Inline").alias("kind"), F.col("_v.value").alias("value"), F.col("_score").alias("score"), zero.alias("distance"), *told)
 
     others = rows.select(F.col(page).alias("_other"), F.col("line_no").alias("value_line"), F.col("box").alias("_b"), F.col("text").alias("_t")).filter(F.col("_t").rlike(r"(?U)\S"))
     pairs = anchors.join(others, (F.col("_page") == F.col("_other")) & (F.col("anchor_line") != F.col("value_line")))
-    pairs = pairs.withColumn("_p", pick(lambda f: place(F.col("_box"), F.col("_b"), F.col("_height"), f))).filter("_p is not null")
-    pairs = pairs.withColumn("_v", pick(lambda f: clean_value(F.col("_t"), f))).filter("_v is not null")
+    pairs = _with(pairs, "_p", pick(lambda f: place(F.col("_box"), F.col("_b"), F.col("_height"), f)))
+    pairs = _with(pairs, "_v", pick(lambda f: clean_value(F.col("_t"), f)))
     pairs = pairs.withColumn("_score", pick(lambda f: score(similar, F.col("_p.distance"), F.col("_p.offset"), F.col("_v.coverage"), F.col("_p.kind"), f)))
     beside = pairs.select(*shared, "value_line", F.col("_p.kind").alias("kind"), F.col("_v.value").alias("value"), F.col("_score").alias("score"), F.col("_p.distance").alias("distance"), *told)
     return inline.unionByName(beside).withColumnRenamed("_page", page)

@@ -320,3 +320,10 @@ def test_weighted_distances_of_many(spark, sf_dir):
     pairs = [(word(), word()) for _ in range(2000)] + [("x" * 90, "yx" * 30), ("rn" * 40, "m" * 50)]
     assert list(metrics.weighted_distances(pairs)) == [metrics.weighted_distance(*p) for p in pairs]
     assert "RoundRobinPartitioning" in _plan(catalogue.weighted_distance(spark, sf_dir))
+
+
+def test_costly_candidates_are_not_filtered_by_a_second_run(spark, sf_dir):
+    lines = page_queries.invoice_lines(spark, sf_dir)
+    plan = fields.candidates(lines, (fields.TOTAL,))._jdf.queryExecution().optimizedPlan().toString()
+    kept = [x for x in plan.split("\n") if x.strip(" :+-|").startswith(("Filter", "Join"))]
+    assert not any("levenshtein" in x or "Inline" in x or "Below" in x for x in kept)
